@@ -38,30 +38,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slot(key) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
+def flagged(docs: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """docs with a boolean column that is true wherever docs[key] is in keys[key], and for few other rows while keys are
+    far fewer than BITMAP_BITS.
 
-
-def in_bitmap(spark: SparkSession, keys: DataFrame, key: str):
-    """A condition on a column that holds for each key of keys, and for few others while keys are far fewer than BITMAP_BITS.
-
-    It only thins a scan before a join: a false positive costs a shuffled row, never a result. Its size (1 MB) does not
-    depend on the number of keys; with very many it lets everything through and the join alone decides.
+    It only thins a scan before a join: a false positive costs a shuffled row, never a result. What is broadcast is a bitmap
+    of 1 MB in at most 256 rows, however many keys there are; with very many it lets everything through and the join decides.
     """
-    at = keys.select(slot(F.col(key)).alias("at"))
+    at = F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS))
     cells = (
-        at.groupBy(F.expr(f"at div {CELL_BITS}").cast("int").alias("cell"))
-        .agg(F.expr(f"bitmap_construct_agg(at % {CELL_BITS})").alias("bits"))
-        .collect()
+        keys.select(at.alias("fl_at"))
+        .groupBy(F.expr(f"fl_at div {CELL_BITS}").alias("fl_cell"))
+        .agg(F.expr(f"bitmap_construct_agg(fl_at % {CELL_BITS})").alias("fl_bits"))
     )
-    filled = {r.cell: bytes(r.bits) for r in cells}
-    empty = bytes(CELL_BITS // 8)
-    whole = b"".join(filled.get(i, empty) for i in range(BITMAP_BITS // CELL_BITS))
-    lit = F.lit(bytearray(whole))
-
-    def holds(column):
-        at = slot(column)
-        byte = F.conv(F.hex(F.substring(lit, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.expr("true") & (byte.bitwiseAND(F.shiftleft(F.lit(1), F.pmod(at, F.lit(8)).cast("int"))) > 0)
-
-    return holds
+    d = docs.withColumn("fl_at", at).withColumn("fl_cell", F.expr(f"fl_at div {CELL_BITS}"))
+    d = d.join(F.broadcast(cells), "fl_cell", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(fl_bits, cast((fl_at % {CELL_BITS}) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.expr("shiftleft(1, cast(fl_at % 8 as int))")
+    return d.withColumn(flag, F.coalesce(byte.bitwiseAND(hit) > 0, F.lit(False))).drop("fl_at", "fl_cell", "fl_bits")

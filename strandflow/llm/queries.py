@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import language_id, licenses, mixing, mpeg_audio, secrets_scan, token_counts
+from strandflow.llm import decontamination, language_id, licenses, mixing, mpeg_audio, near_dedup, secrets_scan, sharding, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": language_id.query,
         "op2_mixing": mixing.query,
         "op3_mpeg_audio": mpeg_audio.query,
+        "op4_decontamination": decontamination.query,
+        "op5_sharding": sharding.query,
+        "op6_substring_dedup": substring_dedup.query,
         "op7_token_counts": token_counts.query,
         "op8_secrets": secrets_scan.query,
+        "op9_near_dedup": near_dedup.query,
         "op10_licenses": licenses.query,
     }
 
@@ -23,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": mixing.SQL,
+        "op4_decontamination": decontamination.SQL,
+        "op6_substring_dedup": substring_dedup.SQL,
         "op8_secrets": secrets_scan.sql(),
         "op10_licenses": licenses.SQL,
     }
