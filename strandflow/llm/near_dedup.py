@@ -10,9 +10,10 @@ where r, c ~ Gamma(2, 1) and b ~ U(0, 1) depend on the element and k, t = floor(
 three variables come from 4,096 drawn triples per k that the element's hash chooses from, so ln a is a table look-up and the hash
 breaks ties; two sets agree in a sample with about their weighted Jaccard similarity.
 
-Texts that share a band are compared with the first of the band, exactly, by weighted Jaccard similarity; those that are not
-similar enough to it go on among themselves with a new first, until nobody is left: a linear number of pairs a round, and none is
-dropped. Links of THRESHOLD and more are joined to classes by min-label propagation with pointer jumping. Copies of a text are one node.
+Texts that share a band are compared exactly, by weighted Jaccard similarity: up to GROUP of them in one task, which links what
+is similar and not yet joined. In larger bands all are compared with the band's first, a linear number of pairs; those that are
+similar leave, represented by it, and the rest goes on, in one task once it is small enough. Links of THRESHOLD and more are joined
+to classes by min-label propagation with pointer jumping. Copies of a text are one node.
 
 Defined cases: a null text is a class of its own, as is a text without words unless it has exact copies; exact copies are one class
 whatever their length; the class id is the least doc_id of the class (null last; null only if all are); of rows with the same
@@ -37,6 +38,8 @@ DAMP = 0.04
 DF_BITS, CHUNK = 20, 4096
 TRIPLES = 12
 EIGHTH = np.log(2) / 8
+#: Texts of one band that are compared in one task; larger bands first lose what is similar to their first.
+GROUP = 256
 #: Bytes of text whose signatures are made at a time.
 PIECE = 1 << 18
 
@@ -200,35 +203,73 @@ def _similarities(idf):
     return F.pandas_udf(of, "double")
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, similarity: links between different texts, by the MD5 of each."""
+def _linked(idf):
+    """Links of the texts of one small group: each pair is compared unless earlier links already join it, so a group of n texts
+    gives at most n - 1 links and loses none between its components."""
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("digest")
+        ids = rows["digest"].tolist()
+        vectors = [weighted(t, idf.value) for t in rows["text"]]
+        total = np.array([w.sum() for _, w in vectors])
+        group, out = list(range(len(ids))), []
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids)):
+                if group[i] == group[j] or min(total[i], total[j]) < THRESHOLD * max(total[i], total[j]):
+                    continue
+                s = similarity(vectors[i], vectors[j])
+                if s >= THRESHOLD:
+                    out.append((ids[i], ids[j], s))
+                    old, new = group[j], group[i]
+                    group = [new if g == old else g for g in group]
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    return of
+
+
+LINK = "a binary, b binary, similarity double"
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """a, b, similarity: links between different texts, by the MD5 of each; enough of them to join what is similar."""
     spark = docs.sparkSession
     texts = texts_of(docs)
     idf = spark.sparkContext.broadcast(idf_levels(docs))
     bands = written(texts.mapInPandas(_bands(idf), "key long, digest binary"))
-    firsts = written(bands.groupBy("key").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first != last").select("key", "first"))
-    members = written(bands.join(firsts, "key").filter("digest != first").select("key", "digest", "first"))
-    wanted = written(members.select("digest").union(members.select(F.col("first").alias("digest"))).distinct())
+
+    def shared(rows: DataFrame) -> DataFrame:
+        n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("first"), F.max("digest").alias("last"))
+        n = written(n.filter("first != last").select("key", "n", "first"))
+        return written(rows.join(n, "key").distinct())
+
+    members = shared(bands)
+    wanted = written(members.select("digest").distinct())
     t = texts.withColumn("digest", F.unhex("digest"))
-    # one text of each digest that is in some pair; copies go before the shuffle
-    t = flagged(t, wanted, "digest", "in_pair").filter("in_pair").select("digest", "text").mapInPandas(_once, "digest binary, text string")
+    # one text of each digest that shares a band; copies go before the shuffle
+    t = flagged(t, wanted, "digest", "shares").filter("shares").select("digest", "text").mapInPandas(_once, "digest binary, text string")
     known = written(t.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
-    same, done, out = _similarities(idf), None, None
-    while True:
-        pairs = members.select(F.col("first").alias("a"), F.col("digest").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+    same, found, small = _similarities(idf), [], [members.filter(F.col("n") <= GROUP).select("key", "digest")]
+    large = members.filter(F.col("n") > GROUP)
+    while not large.isEmpty():
+        pairs = large.filter("digest != first").select(F.col("first").alias("a"), F.col("digest").alias("b")).distinct()
         pairs = pairs.join(known.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b")
         pairs = pairs.join(known.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
         new = written(pairs.select("a", "b", same("ta", "tb").alias("similarity")))
-        out = new.filter(F.col("similarity") >= threshold) if out is None else out.unionByName(new.filter(F.col("similarity") >= threshold))
-        done = new if done is None else done.unionByName(new)
-        unlike = done.filter(F.col("similarity") < threshold).select(F.col("a").alias("first"), F.col("b").alias("digest"))
-        rest = written(members.join(unlike, ["first", "digest"], "left_semi").select("key", "digest"))
-        again = written(rest.groupBy("key").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).filter("first != last").select("key", "first"))
-        if again.isEmpty():
-            return out
-        members = written(rest.join(again, "key").filter("digest != first").select("key", "digest", "first"))
+        found.append(new.filter(F.col("similarity") >= THRESHOLD))
+        unlike = new.filter(F.col("similarity") < THRESHOLD).select(F.col("a").alias("first"), F.col("b").alias("digest"))
+        rest = shared(written(large.join(unlike, ["first", "digest"], "left_semi").select("key", "digest")))
+        small.append(rest.filter(F.col("n") <= GROUP).select("key", "digest"))
+        large = rest.filter(F.col("n") > GROUP)
+    every = small[0]
+    for x in small[1:]:
+        every = every.unionByName(x)
+    # the same few texts share most of their bands: equal groups are compared once
+    groups = every.groupBy("key").agg(F.array_sort(F.collect_set("digest")).alias("g")).select("g").distinct()
+    rows = groups.select(F.md5(F.array_join(F.transform("g", F.hex), "")).alias("gid"), F.explode("g").alias("digest"))
+    out = rows.join(known, "digest").groupBy("gid").applyInPandas(_linked(idf), LINK)
+    for x in found:
+        out = out.unionByName(x)
+    return out
 
 
 def _once(batches):
@@ -254,11 +295,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(digest, label, n_links of each text with a link; label, first_id, n_first, size of each class of several rows).
 
     n_first: how many rows are equal to the first in doc_id and text."""
-    edges = written(links(docs, threshold))
+    edges = written(links(docs))
     degree = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of = written(components(edges).join(degree, "node").select(F.lower(F.hex("node")).alias("digest"), F.lower(F.hex("label")).alias("label"), "n_links"))
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("digest"))
@@ -273,18 +314,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     return of, member
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size, n_links (links of its text to different texts): a row for each row."""
-    _, member = classes(docs.select("doc_id", "text"), threshold)
+    _, member = classes(docs.select("doc_id", "text"))
     d = docs.select("doc_id", F.md5("text").alias("digest"))
     d = d.join(member.select("digest", "first_id", "size", "n_links"), "digest", "left")
     alone = F.col("size").isNull()
     return d.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("class_id"), F.coalesce("size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def representatives(docs: DataFrame) -> DataFrame:
     """One row of each class, unchanged: the one of least doc_id."""
-    _, member = classes(docs.select("doc_id", "text"), threshold)
+    _, member = classes(docs.select("doc_id", "text"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     d = flagged(docs.withColumn("nd_digest", F.md5("text")), member.select(F.col("digest").alias("nd_digest")), "nd_digest", "nd_flag")
     m = member.select(F.col("digest").alias("nd_digest"), F.col("first_id").alias("nd_first"), F.col("first_digest").alias("nd_text"))
