@@ -1,9 +1,10 @@
 """Near-duplicate groups by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are the distinct runs of SHINGLE words of a text (of all its words if it has fewer), weighted by their number in the
-text times a damped inverse document frequency, 1 + DAMP ln(1 + N / df). df is counted over all documents in 2^20 hash
-buckets (8 MB, whatever the input). The damping keeps large groups together: what a group shares is frequent because the group
-is large, and undamped weights would make its few differences outweigh it. Weights are rounded to eighths of an octave.
+text times a damped inverse document frequency, 1 + d ln(1 + N / df). df is counted over all documents in 2^20 hash
+buckets (8 MB, whatever the input). d is DRAWN for samples, so that lines which many texts share draw few of them, and DAMP for
+comparisons: what a large group of copies shares is frequent because the group is large, and its few differences must not
+outweigh it. Weights are rounded to eighths of an octave.
 
 A signature has BANDS x ROWS samples. Sample k of a weighted set is the element and the quantised weight with the least a,
 where r, c ~ Gamma(2, 1) and b ~ U(0, 1) depend on the element and k, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1). The
@@ -12,7 +13,8 @@ breaks ties; two sets agree in a sample with about their weighted Jaccard simila
 
 Texts that share a band are compared exactly, by weighted Jaccard similarity: up to GROUP of them in one task, which links what
 is similar and not yet joined. In larger bands all are compared with the band's first, a linear number of pairs; those that are
-similar leave, represented by it, and the rest goes on, in one task once it is small enough. Links of THRESHOLD and more are joined
+similar leave, represented by it. What is then left of bands that are still large is joined anew on the rarest shingles of each
+text, of which similar texts share one (prefix filtering, exact), and goes on the same way, in one task once it is small enough. Links of THRESHOLD and more are joined
 to classes by min-label propagation with pointer jumping. Copies of a text are one node.
 
 Defined cases: a null text is a class of its own, as is a text without words unless it has exact copies; exact copies are one class
@@ -34,12 +36,13 @@ from strandflow.llm.rolling import U, mixed, runs, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
-DAMP = 0.04
+#: The damping of the inverse document frequency where samples are drawn, and where texts are compared.
+DRAWN, DAMP = 0.5, 0.04
 DF_BITS, CHUNK = 20, 4096
 TRIPLES = 12
 EIGHTH = np.log(2) / 8
 #: Texts of one band that are compared in one task; larger bands first lose what is similar to their first.
-GROUP = 256
+GROUP = 512
 #: Bytes of text whose signatures are made at a time.
 PIECE = 1 << 18
 
@@ -115,14 +118,16 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def idf_levels(docs: DataFrame) -> np.ndarray:
-    """The weight of one shingle of each hash bucket, in eighths of an octave. Counted over all documents; 256 rows come back."""
+    """The weight of one shingle of each hash bucket, in eighths of an octave: row 0 for samples, row 1 for comparisons.
+
+    Counted over all documents; 256 rows come back."""
     texts = texts_of(docs)
     n = texts.mapInPandas(_frequencies, "chunk int, n binary").groupBy("chunk").applyInPandas(_summed, "chunk int, n binary").collect()
     df = np.zeros(1 << DF_BITS, np.int64)
     for r in n:
         df[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.n, np.int64)
-    documents = max(1, texts.count())
-    return np.rint(np.log(1 + DAMP * np.log1p(documents / np.maximum(df, 1))) / EIGHTH).astype(np.int16)
+    rare = np.log1p(max(1, texts.count()) / np.maximum(df, 1))
+    return np.stack([np.rint(np.log(1 + d * rare) / EIGHTH) for d in (DRAWN, DAMP)]).astype(np.int16)
 
 
 @lru_cache(maxsize=2048)
@@ -164,7 +169,7 @@ def _bands(idf):
         for ids, h, tf, sizes in _pieces(batches):
             if not len(h):
                 continue
-            s = signatures(h, tf, sizes, idf.value).astype(U).reshape(-1, BANDS, ROWS)
+            s = signatures(h, tf, sizes, idf.value[0]).astype(U).reshape(-1, BANDS, ROWS)
             key = np.full(s.shape[:2], U(0)) + np.arange(1, BANDS + 1, dtype=U)
             for j in range(ROWS):
                 key = mixed(key * U(0x9E3779B97F4A7C15) + s[:, :, j])
@@ -196,8 +201,8 @@ def _similarities(idf):
         out, last, vector = [], None, None
         for a, b in zip(left, right, strict=True):
             if a is not last and a != last:
-                last, vector = a, weighted(a, idf.value)
-            out.append(similarity(vector, weighted(b, idf.value)))
+                last, vector = a, weighted(a, idf.value[1])
+            out.append(similarity(vector, weighted(b, idf.value[1])))
         return pd.Series(out, dtype="float64")
 
     return F.pandas_udf(of, "double")
@@ -210,7 +215,7 @@ def _linked(idf):
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("digest")
         ids = rows["digest"].tolist()
-        vectors = [weighted(t, idf.value) for t in rows["text"]]
+        vectors = [weighted(t, idf.value[1]) for t in rows["text"]]
         total = np.array([w.sum() for _, w in vectors])
         group, out = list(range(len(ids))), []
         for i in range(len(ids)):
@@ -227,6 +232,25 @@ def _linked(idf):
     return of
 
 
+def _prefixes(idf):
+    """The shingles of each text that one of similarity THRESHOLD must share: the rarest ones, until what is left weighs less
+    than THRESHOLD of the whole."""
+
+    def of(batches):
+        for pdf in batches:
+            keys, ids = [], []
+            for d, t in zip(pdf["digest"], pdf["text"], strict=True):
+                h, w = weighted(t, idf.value[1])
+                order = np.lexsort((h, -idf.value[1][(h >> U(64 - DF_BITS)).astype(np.int64)]))
+                left = w.sum() - np.cumsum(w[order])
+                n = min(len(h), int(np.count_nonzero(left >= THRESHOLD * w.sum() * (1 - 1e-9))) + 1)
+                keys.append(h[order[:n]].view(np.int64))
+                ids += [d] * n
+            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "digest": ids})
+
+    return of
+
+
 LINK = "a binary, b binary, similarity double"
 
 
@@ -260,6 +284,12 @@ def links(docs: DataFrame) -> DataFrame:
         rest = shared(written(large.join(unlike, ["first", "digest"], "left_semi").select("key", "digest")))
         small.append(rest.filter(F.col("n") <= GROUP).select("key", "digest"))
         large = rest.filter(F.col("n") > GROUP)
+        if len(found) == 1 and not large.isEmpty():
+            # texts with one very common line: an exact prefix join finds the similar ones among them
+            texts_left = known.join(written(large.select("digest").distinct()), "digest", "left_semi")
+            rest = shared(written(texts_left.mapInPandas(_prefixes(idf), "key long, digest binary")))
+            small.append(rest.filter(F.col("n") <= GROUP).select("key", "digest"))
+            large = rest.filter(F.col("n") > GROUP)
     every = small[0]
     for x in small[1:]:
         every = every.unionByName(x)
