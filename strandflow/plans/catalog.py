@@ -1,4 +1,11 @@
-"""All queries by name, with their SQL twins."""
+"""All queries by name, with their SQL twins for DuckDB."""
+
+from __future__ import annotations
+
+from strandflow.plans import quantities, structures
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (structures, quantities):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
