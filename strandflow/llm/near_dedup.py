@@ -130,7 +130,7 @@ def idf_levels(docs: DataFrame) -> np.ndarray:
     return np.stack([np.rint(np.log(1 + d * rare) / EIGHTH) for d in (DRAWN, DAMP)]).astype(np.int16)
 
 
-@lru_cache(maxsize=2048)
+@lru_cache(maxsize=1024)
 def least_table(k: int, level: int) -> np.ndarray:
     """For sample k and a weight: ln a, as sortable bits, over the quantised weight, for each triple."""
     g = np.random.default_rng([17, k])
@@ -141,7 +141,6 @@ def least_table(k: int, level: int) -> np.ndarray:
     return bits << U(32) | (t.astype(np.int64) & 0xFF).astype(U) << U(24)
 
 
-@lru_cache(maxsize=256)
 def tables(k: int, levels: tuple[int, ...]) -> np.ndarray:
     return np.concatenate([least_table(k, x) for x in levels])
 
