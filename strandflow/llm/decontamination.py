@@ -30,55 +30,66 @@ BROADCAST_WINDOWS = 50_000
 SALTS = 32
 
 
+#: The same words before A-Z are made small.
+RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def words(text: Column) -> Column:
-    """Words with A-Z made small; other letters stay. Texts without other characters take the engine's faster way."""
+    """Words as they are written."""
+    return F.regexp_extract_all(text, F.lit(RAW), F.lit(0))
+
+
+def small(text: Column) -> Column:
+    """A-Z made small, other letters as they are. The engine's lower() does more, and is used for join keys only."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    small = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
-    return F.regexp_extract_all(small, F.lit(TOKEN), F.lit(0))
+    return F.translate(text, upper, upper.lower())
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id, ws: the distinct windows of each item."""
-    w = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    w = benchmark.select("item_id", words(small(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     w = w.select("item_id", "w", F.explode(starts).alias("i"))
     return w.select("item_id", F.slice("w", F.col("i") + 1, F.lit(size)).alias("ws")).distinct()
 
 
-def prefixes(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
-    """word, off, ws: each distinct window under its rarest word. Rarity is counted over all documents, for the windows' words only."""
+def prefixes(windows: DataFrame, docs: DataFrame, tiny: bool) -> DataFrame:
+    """word, off, ws, k, first, last: each distinct window under its rarest word, with its text and its outer words.
+
+    Rarity is counted over all documents, for the windows' words only."""
     distinct = windows.select("ws").distinct()
-    vocabulary = distinct.select(F.explode("ws").alias("word")).distinct()
-    seen = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    seen = seen.join(F.broadcast(vocabulary) if small else vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    w = distinct.select("ws", F.posexplode("ws").alias("off", "word")).join(seen, "word", "left")
+    vocabulary = distinct.select(F.lower(F.explode("ws")).alias("word")).distinct()
+    seen = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
+    seen = seen.join(F.broadcast(vocabulary) if tiny else vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    w = distinct.select("ws", F.posexplode("ws").alias("off", "word")).withColumn("word", F.lower("word")).join(seen, "word", "left")
     # a word that no document has ends the search for its window
-    rarest = w.groupBy("ws").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "word")).alias("p"))
-    return rarest.filter("p.n > 0").select(F.col("p.word").alias("word"), F.col("p.off").alias("off"), F.col("p.n").alias("n"), "ws")
+    rarest = w.groupBy("ws").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "word")).alias("p")).filter("p.n > 0")
+    outer = [F.lower(F.element_at("ws", i)).alias(c) for i, c in ((1, "first"), (-1, "last"))]
+    return rarest.select(F.col("p.word").alias("word"), F.col("p.off").alias("off"), "ws", F.array_join("ws", " ").alias("k"), F.size("ws").alias("n"), *outer)
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """digest, s, e, item_id: every occurrence (words s to e, e exclusive) of a window of an item in a text, once per text."""
     windows = written(item_windows(benchmark, size))
-    small = windows.limit(most + 1).count() <= most
-    first = written(prefixes(windows, docs, small))
-    at = docs.select("text", words(F.col("text")).alias("w")).select("text", "w", F.posexplode("w").alias("pos", "word"))
-    if small:
+    tiny = windows.limit(most + 1).count() <= most
+    first = written(prefixes(windows, docs, tiny))
+    at = docs.select("text", words(F.col("text")).alias("w")).select("text", "w", F.posexplode("w").alias("pos", "raw")).withColumn("word", F.lower("raw"))
+    start = F.col("pos") - F.col("off")
+    if tiny:
         hit = at.join(F.broadcast(first), "word")
+        near, begin, total, digest = F.col("w"), start, F.size("w"), F.sha2("text", 256)
     else:  # narrow rows travel; the words around a position go along only as far as a window reaches
-        near = at.select(F.sha2("text", 256).alias("digest"), "word", "pos", F.size("w").alias("nw"), F.slice("w", F.greatest(F.col("pos") - size + 2, F.lit(1)), F.lit(2 * size - 1)).alias("w"), F.greatest(F.col("pos") - size + 1, F.lit(0)).alias("from"))
-        near = near.withColumn("salt", F.pmod(F.xxhash64("digest", "pos"), F.lit(SALTS)).cast("int"))
-        dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = near.join(dealt, ["word", "salt"])
-    start = F.col("pos") - F.col("off")
-    length = F.size("ws")
-    if small:
-        hit = hit.filter((start >= 0) & (start + length <= F.size("w"))).filter(F.slice("w", start + 1, length) == F.col("ws"))
-        hit = hit.select(F.sha2("text", 256).alias("digest"), start.alias("s"), (start + length).alias("e"), "ws")
-    else:
-        hit = hit.filter((start >= 0) & (start + length <= F.col("nw"))).filter(F.slice("w", start - F.col("from") + 1, length) == F.col("ws"))
-        hit = hit.select("digest", start.alias("s"), (start + length).alias("e"), "ws")
-    return hit.distinct().join(F.broadcast(windows) if small else windows, "ws").select("digest", "s", "e", "item_id")
+        part = F.slice("w", F.greatest(F.col("pos") - size + 2, F.lit(1)), F.lit(2 * size - 1))
+        far = at.select(F.sha2("text", 256).alias("digest"), "word", "pos", F.size("w").alias("nw"), part.alias("w"), F.greatest(F.col("pos") - size + 1, F.lit(0)).alias("from"))
+        far = far.withColumn("salt", F.pmod(F.xxhash64("digest", "pos"), F.lit(SALTS)).cast("int"))
+        hit = far.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["word", "salt"])
+        near, begin, total, digest = F.col("w"), start - F.col("from"), F.col("nw"), F.col("digest")
+    # bounds first, then the outer words, then all of them
+    hit = hit.filter((start >= 0) & (start + F.col("n") <= total))
+    hit = hit.filter((F.lower(F.element_at(near, begin + 1)) == F.col("first")) & (F.lower(F.element_at(near, begin + F.col("n"))) == F.col("last")))
+    hit = hit.filter(small(F.array_join(F.slice(near, begin + 1, F.col("n")), " ")) == F.col("k"))
+    hit = hit.select(digest.alias("digest"), start.alias("s"), (start + F.col("n")).alias("e"), "ws").distinct()
+    return hit.join(F.broadcast(windows) if tiny else windows, "ws").select("digest", "s", "e", "item_id")
 
 
 def covered(found: DataFrame) -> DataFrame:
@@ -97,7 +108,7 @@ def covered(found: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each row of docs."""
     hits = written(covered(occurrences(docs.select("text"), benchmark.select("item_id", "text"), size, most)))
-    d = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"), F.sha2("text", 256).alias("digest"))
+    d = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(RAW)), F.lit(0)).cast("long").alias("n_words"), F.sha2("text", 256).alias("digest"))
     d = d.join(hits, "digest", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0))
