@@ -58,7 +58,7 @@ def prefixes(windows: DataFrame, docs: DataFrame, tiny: bool) -> DataFrame:
 
     Rarity is counted over all documents, for the windows' words only."""
     distinct = windows.select("ws").distinct()
-    vocabulary = distinct.select(F.lower(F.explode("ws")).alias("word")).distinct()
+    vocabulary = distinct.select(F.explode("ws").alias("word")).select(F.lower("word").alias("word")).distinct()
     seen = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
     seen = seen.join(F.broadcast(vocabulary) if tiny else vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     w = distinct.select("ws", F.posexplode("ws").alias("off", "word")).withColumn("word", F.lower("word")).join(seen, "word", "left")
@@ -86,8 +86,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most:
         near, begin, total, digest = F.col("w"), start - F.col("from"), F.col("nw"), F.col("digest")
     # bounds first, then the outer words, then all of them
     hit = hit.filter((start >= 0) & (start + F.col("n") <= total))
-    hit = hit.filter((F.lower(F.element_at(near, begin + 1)) == F.col("first")) & (F.lower(F.element_at(near, begin + F.col("n"))) == F.col("last")))
-    hit = hit.filter(small(F.array_join(F.slice(near, begin + 1, F.col("n")), " ")) == F.col("k"))
+    # (the engine may test them in any order, so none fails on a place that the bounds rule out)
+    hit = hit.filter((F.lower(F.get(near, begin)) == F.col("first")) & (F.lower(F.get(near, begin + F.col("n") - 1)) == F.col("last")))
+    hit = hit.filter(small(F.array_join(F.slice(near, F.greatest(begin + 1, F.lit(1)), F.col("n")), " ")) == F.col("k"))
     hit = hit.select(digest.alias("digest"), start.alias("s"), (start + F.col("n")).alias("e"), "ws").distinct()
     return hit.join(F.broadcast(windows) if tiny else windows, "ws").select("digest", "s", "e", "item_id")
 
