@@ -5,7 +5,8 @@ word bigrams are compared with those of each template: Dice = 2 common / (line's
 
 Pruning is exact. Dice >= t needs template sizes between t / (2 - t) and (2 - t) / t times the line's, so templates out of
 bounds are not compared; and as a hit shares at least t / (2 - t) of a template's bigrams, it shares one of any
-size - ceil(t / (2 - t) size) + 1 of them: lines without such a bigram of any template are dropped before any comparison.
+size - ceil(t / (2 - t) size) + 1 of them: lines without such a bigram of any template are dropped before any comparison, and texts and lines without the longest word of
+any such bigram before any bigram is made.
 Templates are a constant of this module (or a bounded list of the caller) and part of the plan: no join and no shuffle.
 
 Defined cases: null and empty texts match nothing (n_hits 0, license and dice null, licenses empty); ties between templates go
@@ -63,6 +64,12 @@ def needed(b: list[str], threshold: float) -> list[str]:
     return sorted(b, key=lambda x: (sum(w in COMMON for w in x.split(" ")), -len(x), x))[:n]
 
 
+def words_of(bigrams_: list[str]) -> str:
+    """A pattern for the longest word of each bigram, in either case: what has no such word has none of the bigrams."""
+    words = sorted({max(b.split(" "), key=lambda w: (len(w), w)) for b in bigrams_})
+    return f"(?i)(?<![A-Za-z0-9])(?:{'|'.join(words)})(?![A-Za-z0-9])"
+
+
 def bigrams(words: Column) -> Column:
     n = F.greatest(F.size(words) - 1, F.lit(0))
     return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
@@ -86,13 +93,15 @@ def best(b: Column, templates: list[tuple[str, list[str]]], threshold: float) ->
 def license_hits(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license (of the best line), dice (to 6 places), n_hits (lines that match), licenses (their names, sorted, joined)."""
     all_ = known(templates)
-    telling = F.array(*[F.lit(x) for x in sorted({x for _, t in all_ for x in needed(t, threshold)})])
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    bigrams_ = sorted({x for _, t in all_ for x in needed(t, threshold)})
+    telling, word = F.array(*map(F.lit, bigrams_)), words_of(bigrams_)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(word))
     plain = F.transform(lines, lambda x: F.lower(F.trim(F.regexp_replace(x, "[^A-Za-z0-9]+", " "))))
     pairs = F.transform(F.transform(plain, lambda x: F.split(x, " ")), bigrams)
     some = F.filter(pairs, lambda b: F.arrays_overlap(b, telling))
     hits = F.filter(F.transform(some, lambda b: best(b, all_, threshold)), lambda h: h.isNotNull())
-    d = docs.select("doc_id", hits.alias("h"))
+    none = F.array().cast("array<struct<cost:double,license:string>>")
+    d = docs.select("doc_id", F.when(F.coalesce(F.col("text").rlike(word), F.lit(False)), hits).otherwise(none).alias("h"))
     top = F.array_min("h")
     return d.select(
         "doc_id",
