@@ -30,8 +30,8 @@ BROADCAST_WINDOWS = 50_000
 SALTS = 32
 
 
-#: The same words before A-Z are made small.
-RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same words before A-Z are made small, as what they hold: the engine's matcher is ten times slower on the complement.
+RAW = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
