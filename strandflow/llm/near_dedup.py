@@ -40,6 +40,8 @@ BANDS, ROWS = 10, 3
 DRAWN, DAMP = 0.5, 0.04
 DF_BITS, CHUNK = 20, 4096
 TRIPLES = 12
+#: Weights, in eighths of an octave, whose tables a worker keeps.
+LEVELS = 32
 EIGHTH = np.log(2) / 8
 #: Texts of one band that are compared in one task; larger bands first lose what is similar to their first.
 GROUP = 512
@@ -130,32 +132,42 @@ def idf_levels(docs: DataFrame) -> np.ndarray:
     return np.stack([np.rint(np.log(1 + d * rare) / EIGHTH) for d in (DRAWN, DAMP)]).astype(np.int16)
 
 
-@lru_cache(maxsize=1024)
-def least_table(k: int, level: int) -> np.ndarray:
-    """For sample k and a weight: ln a, as sortable bits, over the quantised weight, for each triple."""
+@lru_cache(maxsize=BANDS * ROWS)
+def triples(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r, ln c, b) of sample k."""
     g = np.random.default_rng([17, k])
     r, c, b = g.gamma(2, 1, 1 << TRIPLES), g.gamma(2, 1, 1 << TRIPLES), g.random(1 << TRIPLES)
+    return r, np.log(c), b
+
+
+def least_table(k: int, level: int) -> np.ndarray:
+    """For sample k and a weight: ln a, as sortable bits, over the quantised weight, for each triple."""
+    r, c, b = triples(k)
     t = np.floor(level * EIGHTH / r + b)
-    bits = (np.log(c) - r * (t - b + 1)).astype(np.float32).view(np.uint32)
+    bits = (c - r * (t - b + 1)).astype(np.float32).view(np.uint32)
     bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(U)
     return bits << U(32) | (t.astype(np.int64) & 0xFF).astype(U) << U(24)
 
 
-def tables(k: int, levels: tuple[int, ...]) -> np.ndarray:
-    return np.concatenate([least_table(k, x) for x in levels])
+@lru_cache(maxsize=BANDS * ROWS)
+def usual_tables(k: int) -> np.ndarray:
+    """The tables of the weights below LEVELS; 1 MB a sample."""
+    return np.concatenate([least_table(k, x) for x in range(LEVELS)])
 
 
 def signatures(h: np.ndarray, tf: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The samples of each text that has shingles, BANDS x ROWS of 32 bits."""
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    levels, of = np.unique(weights(h, tf, idf), return_inverse=True)
-    levels, of = tuple(levels.tolist()), of.astype(np.int64) << TRIPLES
+    level = weights(h, tf, idf)
+    rare = np.unique(level[level >= LEVELS])
+    of = np.where(level < LEVELS, level, LEVELS + np.searchsorted(rare, level)) << TRIPLES
     low = h & U((1 << 24) - 1)
     out = np.empty((len(first), BANDS * ROWS), np.uint32)
     for k in range(BANDS * ROWS):
         odd = U((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (k << 40)) & ((1 << 64) - 1) | 1)
         at = ((h * odd) >> U(64 - TRIPLES)).astype(np.int64) + of
-        out[:, k] = np.minimum.reduceat(tables(k, levels)[at] | low, first) & U(0xFFFFFFFF)
+        table_ = np.concatenate([usual_tables(k), *[least_table(k, x) for x in rare.tolist()]]) if len(rare) else usual_tables(k)
+        out[:, k] = np.minimum.reduceat(table_[at] | low, first) & U(0xFFFFFFFF)
     return out
 
 
