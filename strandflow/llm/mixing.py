@@ -58,12 +58,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 
 
 def draw(docs: DataFrame, keep: list[str], weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The columns keep of docs, with mx_size, mx_source_size, mx_target and mx_copies."""
+    """mx_row (a struct of the columns keep of docs, so that no name clashes), mx_size, mx_source_size, mx_target and mx_copies."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     bits = F.length(F.bin(F.col("mx_size")))
     d = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("mx_row"),
         size.alias("mx_size"),
         h.alias("mx_h"),
         F.col("doc_id").alias("mx_id"),
@@ -86,7 +86,7 @@ def draw(docs: DataFrame, keep: list[str], weights=WEIGHTS, cap: int = CAP) -> D
     start = start.join(aim, start["mx_key"] == aim["k"]).drop("k")
     ranked = d.withColumn("mx_rank", F.row_number().over(W.partitionBy(*cell).orderBy("mx_size", "mx_h", "mx_id")))
     out = ranked.join(start, cell)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "mx_size", "mx_source_size", "mx_target", copies().alias("mx_copies"))
+    return out.select("mx_row", "mx_size", "mx_source_size", "mx_target", copies().alias("mx_copies"))
 
 
 def copies() -> Column:
@@ -100,7 +100,7 @@ def mix_sizes(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: one row for each row of docs."""
     d = draw(docs.select("doc_id", "text", "source"), ["doc_id"], weights, cap)
     return d.select(
-        "doc_id",
+        "mx_row.doc_id",
         F.col("mx_size").alias("size"),
         F.col("mx_source_size").cast("long").alias("source_size"),
         F.col("mx_target").alias("target"),
@@ -113,7 +113,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """The mix itself: each row of docs as often as it is drawn, with the columns of docs."""
     d = draw(docs, docs.columns, weights, cap).filter("mx_copies > 0")
     d = d.withColumn("mx_copy", F.explode(F.sequence(F.lit(1), F.col("mx_copies").cast("int"))))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return d.select("mx_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
