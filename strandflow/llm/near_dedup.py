@@ -13,8 +13,9 @@ breaks ties; two sets agree in a sample with about their weighted Jaccard simila
 
 Texts that share a band are compared exactly, by weighted Jaccard similarity: up to GROUP of them in one task, which links what
 is similar and not yet joined. In larger bands all are compared with the band's first, a linear number of pairs; those that are
-similar leave, represented by it. What is then left of bands that are still large is joined anew on the rarest shingles of each
-text, of which similar texts share one (prefix filtering, exact), and goes on the same way, in one task once it is small enough. Links of THRESHOLD and more are joined
+similar leave, represented by it. What is then left, up to REST texts in one task, and what of it is in larger bands is joined
+anew on the rarest shingles and the weight of each text, of which similar texts share one (prefix filtering, exact), and goes on
+the same way. Links of THRESHOLD and more are joined
 to classes by min-label propagation with pointer jumping. Copies of a text are one node.
 
 Defined cases: a null text is a class of its own, as is a text without words unless it has exact copies; exact copies are one class
@@ -43,8 +44,9 @@ TRIPLES = 12
 #: Weights, in eighths of an octave, whose tables a worker keeps.
 LEVELS = 32
 EIGHTH = np.log(2) / 8
-#: Texts of one band that are compared in one task; larger bands first lose what is similar to their first.
-GROUP = 512
+#: Texts of one band that are compared in one task; larger bands first lose what is similar to their first. REST: the same
+#: for what is left after that.
+GROUP, REST = 512, 2048
 #: Bytes of text whose signatures are made at a time.
 PIECE = 1 << 18
 
@@ -221,23 +223,39 @@ def _similarities(idf):
 
 def _linked(idf):
     """Links of the texts of one small group: each pair is compared unless earlier links already join it, so a group of n texts
-    gives at most n - 1 links and loses none between its components."""
+    gives at most n - 1 links and loses none between its components. A text meets the later ones through the lists of the
+    shingles that several texts have."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("digest")
         ids = rows["digest"].tolist()
         vectors = [weighted(t, idf.value[1]) for t in rows["text"]]
         total = np.array([w.sum() for _, w in vectors])
-        group, out = list(range(len(ids))), []
-        for i in range(len(ids)):
-            for j in range(i + 1, len(ids)):
-                if group[i] == group[j] or min(total[i], total[j]) < THRESHOLD * max(total[i], total[j]):
-                    continue
-                s = similarity(vectors[i], vectors[j])
-                if s >= THRESHOLD:
-                    out.append((ids[i], ids[j], s))
-                    old, new = group[j], group[i]
-                    group = [new if g == old else g for g in group]
+        size = np.array([len(h) for h, _ in vectors])
+        first = np.cumsum(size) - size
+        h, w = np.concatenate([h for h, _ in vectors]), np.concatenate([w for _, w in vectors])
+        order = np.argsort(h, kind="stable")  # of equal shingles the texts are in order
+        text, weight = np.repeat(np.arange(len(ids)), size)[order], w[order]
+        last = np.flatnonzero(np.r_[h[order][1:] != h[order][:-1], True][: len(h)]) + 1
+        place, end = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        place[order] = np.arange(len(h))
+        end[order] = np.repeat(last, np.diff(np.r_[0, last]))
+        group, out = np.arange(len(ids)), []
+        for i in range(len(ids) - 1):
+            open_ = group[i + 1 :] != group[i]
+            open_ &= np.minimum(total[i], total[i + 1 :]) >= THRESHOLD * np.maximum(total[i], total[i + 1 :])
+            if not open_.any():
+                continue
+            own = slice(first[i], first[i] + size[i])
+            n = end[own] - place[own] - 1
+            at = np.repeat(place[own] + 1 - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            common = np.bincount(text[at], np.minimum(weight[at], np.repeat(w[own], n)), len(ids))[i + 1 :]
+            s = common / np.maximum(total[i] + total[i + 1 :] - common, 1e-300)
+            for j in np.flatnonzero(open_ & (s >= THRESHOLD)).tolist():
+                old, new = group[i + 1 + j], group[i]
+                if old != new:
+                    out.append((ids[i], ids[i + 1 + j], float(s[j])))
+                    group[group == old] = new
         return pd.DataFrame(out, columns=["a", "b", "similarity"])
 
     return of
@@ -245,7 +263,8 @@ def _linked(idf):
 
 def _prefixes(idf):
     """The shingles of each text that one of similarity THRESHOLD must share: the rarest ones, until what is left weighs less
-    than THRESHOLD of the whole."""
+    than THRESHOLD of the whole. Similar texts differ in weight by 1 / THRESHOLD at most, so a key also has the class of the
+    text's weight, and a text is in its own class and the next."""
 
     def of(batches):
         for pdf in batches:
@@ -255,8 +274,10 @@ def _prefixes(idf):
                 order = np.lexsort((h, -idf.value[1][(h >> U(64 - DF_BITS)).astype(np.int64)]))
                 left = w.sum() - np.cumsum(w[order])
                 n = min(len(h), int(np.count_nonzero(left >= THRESHOLD * w.sum() * (1 - 1e-9))) + 1)
-                keys.append(h[order[:n]].view(np.int64))
-                ids += [d] * n
+                if len(h):
+                    class_ = int(np.floor(np.log(w.sum()) / -np.log(THRESHOLD)))
+                    keys += [mixed(h[order[:n]] + U((c * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))).view(np.int64) for c in (class_, class_ + 1)]
+                    ids += [d] * (2 * n)
             yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "digest": ids})
 
     return of
@@ -293,14 +314,14 @@ def links(docs: DataFrame) -> DataFrame:
         found.append(new.filter(F.col("similarity") >= THRESHOLD))
         unlike = new.filter(F.col("similarity") < THRESHOLD).select(F.col("a").alias("first"), F.col("b").alias("digest"))
         rest = shared(written(large.join(unlike, ["first", "digest"], "left_semi").select("key", "digest")))
-        small.append(rest.filter(F.col("n") <= GROUP).select("key", "digest"))
-        large = rest.filter(F.col("n") > GROUP)
+        small.append(rest.filter(F.col("n") <= REST).select("key", "digest"))
+        large = rest.filter(F.col("n") > REST)
         if len(found) == 1 and not large.isEmpty():
             # texts with one very common line: an exact prefix join finds the similar ones among them
             texts_left = known.join(written(large.select("digest").distinct()), "digest", "left_semi")
             rest = shared(written(texts_left.mapInPandas(_prefixes(idf), "key long, digest binary")))
-            small.append(rest.filter(F.col("n") <= GROUP).select("key", "digest"))
-            large = rest.filter(F.col("n") > GROUP)
+            small.append(rest.filter(F.col("n") <= REST).select("key", "digest"))
+            large = rest.filter(F.col("n") > REST)
     every = small[0]
     for x in small[1:]:
         every = every.unionByName(x)
