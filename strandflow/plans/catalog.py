@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandflow.plans import quantities, structures
+from strandflow.plans import assignments, quantities, structures
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (structures, quantities):
+for _m in (structures, quantities, assignments):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
