@@ -94,15 +94,24 @@ class LanguageModel:
         return self.langs[k], s, s < self.threshold
 
 
-def fit(x: np.ndarray, y: np.ndarray, n: int, epochs: int = 30, rate: float = 40.0, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(table, bias) of n languages from rows of averaged counts. Stochastic gradient descent over small batches."""
+def dense(rows: list[tuple]) -> np.ndarray:
+    """Averaged counts of some rows of (buckets, counts)."""
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for k, (at, n) in enumerate(rows):
+        x[k, at] = np.asarray(n, np.float32) / np.sum(n)
+    return x
+
+
+def fit(rows: list[tuple], y: np.ndarray, n: int, epochs: int = 30, rate: float = 40.0, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(table, bias) of n languages from rows of (buckets, counts). Stochastic gradient descent over small batches; only a
+    batch is ever dense."""
     r = np.random.default_rng(seed)
-    e = r.normal(0, 0.3, (x.shape[1], DIM)).astype(np.float32)
+    e = r.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
     w, b = r.normal(0, 0.3, (DIM, n)).astype(np.float32), np.zeros(n, np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in np.array_split(r.permutation(len(y)), max(1, len(y) // 32)):
-            xi = x[i]
+            xi = dense([rows[k] for k in i])
             h = xi @ e
             z = h @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
@@ -153,15 +162,13 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
     rows = rows.iloc[np.lexsort((rows["at"].map(lambda a: crc32(np.asarray(a, np.int32).tobytes())), rows["lang"]))]  # the same order whatever the tasks' order
     y = rows["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (at, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-        x[i, at] = np.asarray(n, np.float32) / np.sum(n)
+    x = list(zip(rows["at"], rows["n"], strict=True))
     held, whole = rows["held"].to_numpy(bool), rows["whole"].to_numpy(bool)
     learn = ~held if (~held).any() else np.ones(len(y), bool)
-    table_, bias = fit(x[learn], y[learn], len(langs))
+    table_, bias = fit([x[k] for k in np.flatnonzero(learn)], y[learn], len(langs))
     m = LanguageModel(langs, table_.astype(np.float32), bias)
     check = held & whole if (held & whole).any() else learn
-    z = x[check] @ m.table + m.bias
+    z = dense([x[k] for k in np.flatnonzero(check)]) @ m.table + m.bias
     m.temperature = min((float(t) for t in np.geomspace(0.25, 4, 33)), key=lambda t: _loss(z / t, y[check]))
     p = np.exp(z / m.temperature - (z / m.temperature).max(1, keepdims=True))
     m.threshold = float(min(MOST_REJECTED, np.quantile((p / p.sum(1, keepdims=True)).max(1), REJECT)))
