@@ -12,11 +12,13 @@ three variables come from 4,096 drawn triples per k that the element's hash choo
 breaks ties; two sets agree in a sample with about their weighted Jaccard similarity.
 
 Texts that share a band are compared exactly, by weighted Jaccard similarity: up to GROUP of them in one task, which links what
-is similar and not yet joined. In larger bands all are compared with the band's first, a linear number of pairs; those that are
-similar leave, represented by it. What is then left, up to REST texts in one task, and what of it is in larger bands is joined
-anew on the rarest shingles and the weight of each text, of which similar texts share one (prefix filtering, exact), and goes on
-the same way. Links of THRESHOLD and more are joined
-to classes by min-label propagation with pointer jumping. Copies of a text are one node.
+is similar and not yet joined. In larger bands all are compared with the band's first, and what is not in the largest component
+of the band then with a second text of that, a linear number of pairs. Bands in one component are done. All texts of the other
+bands, linked or not, stay as possible partners (similarity is not transitive): only pairs within one component are skipped. Up
+to REST texts of a band are compared in one task; the texts of larger bands are joined anew on the rarest shingles and the weight
+of each text, of which similar texts share one (prefix filtering, exact), and where more than REST share one, blocks of them are
+compared in pairs. Links of THRESHOLD and more are joined to classes by min-label propagation with pointer jumping. Copies of a
+text are one node.
 
 Defined cases: a null text is a class of its own, as is a text without words unless it has exact copies; exact copies are one class
 whatever their length; the class id is the least doc_id of the class (null last; null only if all are); of rows with the same
@@ -29,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm.common import flagged, table, written
@@ -44,8 +46,8 @@ TRIPLES = 12
 #: Weights, in eighths of an octave, whose tables a worker keeps.
 LEVELS = 32
 EIGHTH = np.log(2) / 8
-#: Texts of one band that are compared in one task; larger bands first lose what is similar to their first. REST: the same
-#: for what is left after that.
+#: Texts of one band that are compared in one task; larger bands are first compared with one or two of their texts. REST: the same
+#: for those of them that are in several components after that.
 GROUP, REST = 512, 2048
 #: Bytes of text whose signatures are made at a time.
 PIECE = 1 << 18
@@ -222,12 +224,12 @@ def _similarities(idf):
 
 
 def _linked(idf):
-    """Links of the texts of one small group: each pair is compared unless earlier links already join it, so a group of n texts
-    gives at most n - 1 links and loses none between its components. A text meets the later ones through the lists of the
-    shingles that several texts have."""
+    """Links of the texts of one small group: each pair is compared unless earlier links (or equal labels) already join it, so a
+    group of n texts gives at most n - 1 links and loses none between its components. A text of side 0 meets the later ones,
+    those of side 1 among them, through the lists of the shingles that several texts have."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("digest")
+        rows = rows.sort_values(["side", "digest"])
         ids = rows["digest"].tolist()
         vectors = [weighted(t, idf.value[1]) for t in rows["text"]]
         total = np.array([w.sum() for _, w in vectors])
@@ -240,8 +242,8 @@ def _linked(idf):
         place, end = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
         place[order] = np.arange(len(h))
         end[order] = np.repeat(last, np.diff(np.r_[0, last]))
-        group, out = np.arange(len(ids)), []
-        for i in range(len(ids) - 1):
+        group, out = pd.factorize(rows["label"])[0], []
+        for i in range(min(len(ids) - 1, int((rows["side"] == 0).sum()))):
             open_ = group[i + 1 :] != group[i]
             open_ &= np.minimum(total[i], total[i + 1 :]) >= THRESHOLD * np.maximum(total[i], total[i + 1 :])
             if not open_.any():
@@ -284,6 +286,7 @@ def _prefixes(idf):
 
 
 LINK = "a binary, b binary, similarity double"
+TILES = "array<struct<tile:struct<kind:int,i:int,j:int>,side:int>>"
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -304,34 +307,69 @@ def links(docs: DataFrame) -> DataFrame:
     # one text of each digest that shares a band; copies go before the shuffle
     t = flagged(t, wanted, "digest", "shares").filter("shares").select("digest", "text").mapInPandas(_once, "digest binary, text string")
     known = written(t.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
-    same, found, small = _similarities(idf), [], [members.filter(F.col("n") <= GROUP).select("key", "digest")]
-    large = members.filter(F.col("n") > GROUP)
-    while not large.isEmpty():
-        pairs = large.filter("digest != first").select(F.col("first").alias("a"), F.col("digest").alias("b")).distinct()
-        pairs = pairs.join(known.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b")
-        pairs = pairs.join(known.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
-        new = written(pairs.select("a", "b", same("ta", "tb").alias("similarity")))
-        found.append(new.filter(F.col("similarity") >= THRESHOLD))
-        unlike = new.filter(F.col("similarity") < THRESHOLD).select(F.col("a").alias("first"), F.col("b").alias("digest"))
-        rest = shared(written(large.join(unlike, ["first", "digest"], "left_semi").select("key", "digest")))
-        small.append(rest.filter(F.col("n") <= REST).select("key", "digest"))
-        large = rest.filter(F.col("n") > REST)
-        if len(found) == 1 and not large.isEmpty():
-            # texts with one very common line: an exact prefix join finds the similar ones among them
-            texts_left = known.join(written(large.select("digest").distinct()), "digest", "left_semi")
-            rest = shared(written(texts_left.mapInPandas(_prefixes(idf), "key long, digest binary")))
-            small.append(rest.filter(F.col("n") <= REST).select("key", "digest"))
-            large = rest.filter(F.col("n") > REST)
-    every = small[0]
-    for x in small[1:]:
-        every = every.unionByName(x)
+    same, small, large = _similarities(idf), members.filter(F.col("n") <= GROUP), members.filter(F.col("n") > GROUP)
     # the same few texts share most of their bands: equal groups are compared once
-    groups = every.groupBy("key").agg(F.array_sort(F.collect_set("digest")).alias("g")).select("g").distinct()
+    groups = small.groupBy("key").agg(F.array_sort(F.collect_set("digest")).alias("g")).select("g").distinct()
     rows = groups.select(F.md5(F.array_join(F.transform("g", F.hex), "")).alias("gid"), F.explode("g").alias("digest"))
-    out = rows.join(known, "digest").groupBy("gid").applyInPandas(_linked(idf), LINK)
-    for x in found:
-        out = out.unionByName(x)
-    return out
+    rows = rows.select("gid", "digest", F.col("digest").alias("label"), F.lit(0).alias("side"))
+    if large.isEmpty():
+        return rows.join(known, "digest").groupBy("gid").applyInPandas(_linked(idf), LINK)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(known.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b")
+        pairs = pairs.join(known.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
+        return written(pairs.select("a", "b", same("ta", "tb").alias("similarity")).filter(F.col("similarity") >= THRESHOLD))
+
+    found = compared(large.filter("digest != first").select(F.col("first").alias("a"), F.col("digest").alias("b")).distinct())
+    large = _open(large.select("key", "digest"), components(found))
+    # a second one of the largest component meets what is not joined to it
+    second = large.filter("label = top").groupBy("key").agg(F.min_by("digest", F.xxhash64("digest")).alias("a"))
+    pairs = large.filter("label != top").join(second, "key").select("a", F.col("digest").alias("b")).distinct()
+    found = found.unionByName(compared(pairs))
+    labels = components(found)
+    large = _open(large.select("key", "digest"), labels)
+    rest = large.filter(F.col("n") > REST)
+    if not rest.isEmpty():
+        # texts with one very common line: an exact prefix join finds the similar ones among them
+        texts_left = known.join(written(rest.select("digest").distinct()), "digest", "left_semi")
+        keys = _open(written(texts_left.mapInPandas(_prefixes(idf), "key long, digest binary")), labels)
+        large = large.filter(F.col("n") <= REST).unionByName(keys)
+    groups = _tiles(large).groupBy("key", "tile").agg(F.array_sort(F.collect_set(F.struct("digest", "label", "side"))).alias("g")).select("g").distinct()
+    gid = F.md5(F.array_join(F.transform("g", lambda x: F.concat(F.hex(x["digest"]), x["side"].cast("string"))), ""))
+    rows = rows.unionByName(groups.select(gid.alias("gid"), F.explode("g").alias("m")).select("gid", "m.digest", "m.label", "m.side"))
+    return rows.join(known, "digest").groupBy("gid").applyInPandas(_linked(idf), LINK).unionByName(found)
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, digest) of keys whose texts are in several components, with the label of each, the number of texts of the
+    key, and its largest component: top, of n_top texts."""
+    r = written(rows.distinct().join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest")))
+    each = r.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    of = each.groupBy("key").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("c", "label")).alias("t"))
+    of = written(of.filter("n_labels > 1").select("key", "n", F.col("t.label").alias("top"), F.col("t.c").alias("n_top")))
+    return written(r.join(of, "key"))
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """key, tile, digest, label, side: groups of about REST texts at most in which every pair of a key's texts meets, but those
+    within its largest component. Texts of side 0 are compared with all of the tile, those of side 1 only with side 0."""
+    half = max(1, REST // 2)
+    other = F.col("label") != F.col("top")
+    n_other, n_top = (F.when(F.col("n") <= REST, 1).otherwise(F.ceil(c / half)).cast("int") for c in (F.col("n") - F.col("n_top"), F.col("n_top")))
+    d = rows.withColumn("n_other", n_other).withColumn("n_tops", n_top)
+    d = d.withColumn("at", F.pmod(F.xxhash64("digest"), F.when(other, F.col("n_other")).otherwise(F.col("n_tops"))).cast("int"))
+
+    def tile(kind: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j")).alias("tile"), side.cast("int").alias("side"))
+
+    others, tops = F.sequence(F.lit(0), F.col("n_other") - 1), F.sequence(F.lit(0), F.col("n_tops") - 1)
+    at = F.col("at")
+    # a block of the others meets each block of the others and each of the largest component
+    among = F.when(F.col("n_other") > 1, F.transform(others, lambda x: tile(0, F.least(at, x), F.greatest(at, x), F.when(x >= at, 0).otherwise(1))))
+    mine = F.concat(F.coalesce(among, F.array().cast(TILES)), F.transform(tops, lambda x: tile(1, at, x, F.lit(0))))
+    theirs = F.transform(others, lambda x: tile(1, x, at, F.lit(1)))
+    d = d.select("key", "digest", "label", F.explode(F.when(other, mine).otherwise(theirs)).alias("t"))
+    return d.select("key", "t.tile", "digest", "label", "t.side")
 
 
 def _once(batches):

@@ -211,6 +211,28 @@ def test_near_dedup_of_large_groups(spark, monkeypatch):
     assert len({next(iter(x)) for x in by.values()}) == len(by)
 
 
+@pytest.mark.parametrize("rest", [6, 2048])
+def test_near_dedup_of_a_hub(spark, monkeypatch, rest):
+    """More than GROUP variants that are similar to one text but not to each other, and texts similar to a variant only."""
+    monkeypatch.setattr(near_dedup, "GROUP", 4)
+    monkeypatch.setattr(near_dedup, "REST", rest)
+    r, base, texts = random.Random(8), words_of(900, 300), []
+    for k in range(40):
+        v = list(base)
+        for c, at in enumerate(r.sample(range(5, 295), 4)):
+            v[at] = f"own{k}x{c}"
+        texts.append(" ".join(v))
+        if k % 8 == 0:
+            for c, at in enumerate(r.sample(range(5, 295), 4)):
+                v[at] = f"more{k}x{c}"
+            texts.append(" ".join(v))
+    corpus = rows([" ".join(base), *texts])
+    d = spark.createDataFrame(corpus, DOCS)
+    group = brute_near(corpus, near_dedup.idf_levels(d))
+    assert len(set(group.values())) == 1
+    assert {r.class_id for r in near_dedup.near_duplicates(d).collect()} == {0}
+
+
 def test_near_dedup_of_nothing(nothing):
     assert near_dedup.near_duplicates(nothing).collect() == []
     assert near_dedup.representatives(nothing).collect() == []
