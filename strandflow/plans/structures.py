@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import ranges as R
 from strandflow.operators import compare, genes, junctions, read_classes
-from strandflow.operators.interval_join import first_of, nearest_equal, overlap_join, reduced, within_join
+from strandflow.operators.interval_join import nearest_equal, overlap_join, reduced, within_join
 from strandflow.plans.fixtures import BASE, LISTS, annotation_exons, read_exons, reads, transcripts
 
 QUERIES: dict = {}
@@ -80,8 +80,8 @@ def gene_ranges(spark, sf_dir):
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    """Reads with the annotated transcripts of the same chromosome, strand and locus, those of the least ids only: q, s lists."""
-    t = first_of(transcripts(spark, sf_dir), ["chr", "strand", "locus"], F.col("txid")).select("chr", "strand", "locus", "tx", "gene", F.col("x").alias("y"))
+    """Reads with all annotated transcripts of the same chromosome, strand and locus: q, s lists. _PAIRS has only the least txid of each."""
+    t = transcripts(spark, sf_dir).select("chr", "strand", "locus", "tx", "gene", F.col("x").alias("y"))
     return reads(spark, sf_dir).join(t, ["chr", "strand", "locus"])
 
 

@@ -144,3 +144,14 @@ def test_query_matches_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_pairs_have_all_transcripts_of_a_locus(spark, tmp_path):
+    """Two reads of one locus and three transcripts of it (l_orderkey by 10): all six pairs, by each query."""
+    keys = [k for k in range(1, 300_000) if (k % 7 % 5, k % 3 == 0, k % 41) == (0, False, 5)]
+    reads, tx = [k for k in keys if k % 10][:2], [k for k in keys if k % 10 == 0][:3]
+    lines = [(k, n, n + k % 3, n, float(n)) for k in reads + tx for n in (1, 2, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name in ("splice_compatible", "compare_transcripts", "range_setdiff_width", "parallel_overlap"):
+        found = {(r.read_id, r.tx) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert found == {(r, f"tx{t}") for r in reads for t in tx}, name
