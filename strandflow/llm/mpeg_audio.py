@@ -11,7 +11,8 @@ that announces no audio bits, so all that follows the side information is ancill
 with the number of frames and bytes and the table of contents.
 
 Defined cases: null media gives null features, empty or unsynchronisable media gives no frames and no duration; junk between
-frames is skipped and counted; a cut last frame is counted as damage. Payloads of any length are handled in memory of a small
+frames is skipped and counted; a cut last frame is counted as damage; tags at the end count only outside of a last frame in step
+that ends with the stream. Payloads of any length are handled in memory of a small
 multiple of their own size, one row at a time; equal inputs give equal outputs.
 """
 
@@ -132,6 +133,7 @@ def parse(data: bytes) -> dict:
         tags = id3_frames(data[at : at + size]) | tags
         kinds.append(f"ID3v2.{data[at + 3]}")
         at += size
+    front = len(kinds)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         kinds.append("ID3v1")
         end -= 128
@@ -159,6 +161,9 @@ def parse(data: bytes) -> dict:
             junk += nxt - at
             at = nxt
             continue
+        if last is not None and end < at + h[6] == len(data):  # in step to the very end: what looks like a tag belongs to the frame
+            del kinds[front:]
+            end = len(data)
         if at + h[6] > end:
             junk += end - at  # a cut frame
             bad += 1

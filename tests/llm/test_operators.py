@@ -425,6 +425,20 @@ def test_audio_is_found_among_junk():
     assert mpeg_audio.parse(b"")["frames"] == 0 and mpeg_audio.parse(b"\xff" * 5000)["frames"] == 0
 
 
+@pytest.mark.parametrize("n", [478, 576, 576 + 500, 4 * 576])
+def test_audio_with_a_tag_in_its_payload(n):
+    data = bytearray(b"x" * n)
+    at = (n - 1) // 576 * 576 + 475
+    data[at : at + 3] = b"TAG"
+    media = mpeg_audio.store(*mpeg_audio.padded(bytes(data)))
+    assert media[-128:-125] == b"TAG"
+    for tail, kinds in ((b"", ["ID3v2.3"]), (b"TAG" + bytes(125), ["ID3v2.3", "ID3v1"])):
+        found = mpeg_audio.parse(media + tail)
+        assert found["tag_kinds"] == kinds and found["bad"] == 0 and found["junk"] == 0
+        payload, size = mpeg_audio.load(media + tail, found)
+        assert size == n and payload[:n] == data and len(payload) == -(-n // 576) * 576
+
+
 def test_audio_columns(spark, docs, corpus, nothing):
     cols = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
 
