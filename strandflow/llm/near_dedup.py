@@ -2,9 +2,9 @@
 
 Shingles are the distinct runs of SHINGLE words of a text (of all its words if it has fewer), weighted by their number in the
 text times a damped inverse document frequency, 1 + d ln(1 + N / df). df is counted over all documents in 2^20 hash
-buckets (8 MB, whatever the input). d is DRAWN for samples, so that lines which many texts share draw few of them, and DAMP for
-comparisons: what a large group of copies shares is frequent because the group is large, and its few differences must not
-outweigh it. Weights are rounded to eighths of an octave.
+buckets (8 MB, whatever the input). d is DAMP, small: what a large group of copies shares is frequent because the group is large,
+and its few differences must not outweigh it. Samples are drawn by the same weights as texts are compared by (DRAWN is DAMP), so
+that banding holds at the similarity that links are judged by. Weights are rounded to eighths of an octave.
 
 A signature has BANDS x ROWS samples. Sample k of a weighted set is the element and the quantised weight with the least a,
 where r, c ~ Gamma(2, 1) and b ~ U(0, 1) depend on the element and k, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1). The
@@ -40,7 +40,8 @@ from strandflow.llm.rolling import U, mixed, runs, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
 #: The damping of the inverse document frequency where samples are drawn, and where texts are compared.
-DRAWN, DAMP = 0.5, 0.04
+DAMP = 0.04
+DRAWN = DAMP
 DF_BITS, CHUNK = 20, 4096
 TRIPLES = 12
 #: Weights, in eighths of an octave, whose tables a worker keeps.

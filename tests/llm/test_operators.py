@@ -249,6 +249,21 @@ def test_samples_agree_as_similar_sets_do():
     assert abs(float(np.mean(s[0] == s[1])) - near_dedup.similarity(a, b)) < 0.25
 
 
+def test_samples_agree_as_compared_in_a_large_group(spark):
+    """In a group of copies with edits of their own the samples agree as often as the similarity that links are judged by."""
+    r, base, texts = random.Random(9), words_of(901, 300), []
+    for k in range(300):
+        v = list(base)
+        for c, at in enumerate(r.sample(range(5, 295), 6)):
+            v[at] = f"own{k}x{c}"
+        texts.append(" ".join(v))
+    texts.append(" ".join(base))
+    idf = near_dedup.idf_levels(spark.createDataFrame(rows(texts), DOCS))
+    s = near_dedup.signatures(*near_dedup.shingles([t.encode() for t in texts]), idf[0])
+    v = [near_dedup.weighted(t, idf[1]) for t in texts]
+    assert abs(float(np.mean(s[:-1] == s[-1])) - np.mean([near_dedup.similarity(x, v[-1]) for x in v[:-1]])) < 0.04
+
+
 # --- mixing
 
 
