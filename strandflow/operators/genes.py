@@ -37,7 +37,7 @@ def vote(introns: DataFrame, annotated: DataFrame) -> DataFrame:
     return first_of(v, ["read_id"], F.desc("votes"), F.col("gene")).select("read_id", "gene", "votes")
 
 
-def novel(exons: DataFrame, prefix: str = "Bambu") -> DataFrame:
+def novel(exons: DataFrame, prefix: str = "Novel") -> DataFrame:
     """read_id, gene: reads joined through merged exons, as connected components by min-label propagation with pointer jumping.
 
     Node of a read is its least merged exon; edges run between merged exons that some read has both of."""
