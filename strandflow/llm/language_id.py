@@ -1,14 +1,21 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax and calibrated rejection.
 
 A text's features are the n-grams of 1 to 4 of its letters within words (word ends included), hashed into BUCKETS rows of an
-embedding table; their average goes through a linear softmax. Both layers are trained by stochastic gradient descent in numpy
-on the driver, over a bounded sample of labelled documents: about PER_LANG documents a language, chosen by a hash of doc_id,
-whose features (at most BUCKETS numbers each, however long the text) are all that leaves the executors. A part of the sample
-is held back to fit the softmax's temperature and the rejection threshold: the score below which fewer than REJECT of the
-held-back documents of a known language lie, at most MOST_REJECTED.
+embedding table; their average goes through a linear softmax over the languages and one further class for what is none of them.
+Both layers are trained by stochastic gradient descent in numpy on the driver, over a bounded sample of labelled documents:
+about PER_LANG documents of each of the MOST_LANGS most frequent languages, chosen by a hash of doc_id. Only features leave the
+executors (at most BUCKETS numbers a row, however long the text): of the whole text, of some segments of it, and of negatives made
+from it, whose letters are shuffled, or drawn evenly from the letters that it has.
+
+A part of the sample is held back for calibration. It sets the softmax's temperature, which makes the score a probability, and
+the rejection threshold on the margin, the log-odds of the best language against none. Held-back texts and segments of known
+languages are to be taken. To be rejected are held-back negatives, and the held-back texts of languages that the model does not
+know: models are trained with a part of the languages left out, in up to FOLDS turns, and judge these. The threshold is where both
+are parted best (each kind of negative counts alike), in the middle between the two where a gap lies, and never above the
+REJECT quantile of what is to be taken.
 
 Prediction is local to a row and reads nothing but the text; embedding and softmax are folded into one score per bucket and
-language. Texts are read in pieces of PIECE letters with the n-grams across the seams kept, so memory is bounded by the text.
+class. Texts are read in pieces of PIECE letters with the n-grams across the seams kept, so memory is bounded by the text.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and rejected; null labels are not learned from, nor
 are rows with a null doc_id; without any label everything is `und`; ties go to the language first in code point order; other
@@ -32,11 +39,14 @@ BUCKETS = 1 << 13
 DIM = 16
 ORDERS = 4
 PIECE = 1 << 16
-PER_LANG = 300
-REJECT, MOST_REJECTED = 0.001, 0.45
+PER_LANG, MOST_LANGS = 300, 500
+#: The share of what is to be taken that may be rejected, and in how many turns languages are left out.
+REJECT, FOLDS = 0.002, 4
 #: Segments of a sampled document that are learned from besides the whole, and their letters.
 SEGMENTS, SEGMENT = 3, 60
 SALT = 20
+#: Kinds of rows of the sample; those from SHUFFLED on are negatives.
+WHOLE, PART, SHUFFLED, EVEN = range(4)
 
 
 @lru_cache(maxsize=1)
@@ -75,7 +85,7 @@ def subwords(c: np.ndarray) -> np.ndarray:
 @dataclass
 class LanguageModel:
     langs: list[str]
-    table: np.ndarray  #: BUCKETS x languages: embedding times softmax weights
+    table: np.ndarray  #: BUCKETS x (languages and none): embedding times softmax weights
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
@@ -84,48 +94,72 @@ class LanguageModel:
         return counts @ self.table / max(1.0, float(counts.sum())) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, probability that it is the text's, rejected)."""
         c = folded(text) if text else np.zeros(0, np.uint32)
         if not self.langs or not c.any():
             return "und", 0.0, True
-        z = self.logits(subwords(c).astype(np.float32)) / self.temperature
-        p = np.exp(z - z.max())
-        k = int(np.argmax(p))
-        s = float(p[k] / p.sum())
-        return self.langs[k], s, s < self.threshold
+        z = self.logits(subwords(c).astype(np.float32))
+        k = int(np.argmax(z[:-1]))
+        p = np.exp((z - z.max()) / self.temperature)
+        return self.langs[k], float(p[k] / p.sum()), bool(z[k] - z[-1] < self.threshold)
 
 
-def dense(rows: list[tuple]) -> np.ndarray:
-    """Averaged counts of some rows of (buckets, counts)."""
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, (at, n) in enumerate(rows):
-        x[k, at] = np.asarray(n, np.float32) / np.sum(n)
-    return x
+class Rows:
+    """Averaged counts of some rows (buckets, counts), sparse; only some of them at a time are ever dense."""
 
+    def __init__(self, at: list[np.ndarray], n: list[np.ndarray]):
+        self.size = np.array([len(a) for a in at], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.at = np.concatenate(at).astype(np.int64)
+        self.value = np.concatenate([np.asarray(x, np.float32) / np.float32(np.sum(x)) for x in n])
 
-def fit(rows: list[tuple], y: np.ndarray, n: int, epochs: int = 30, rate: float = 40.0, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(table, bias) of n languages from rows of (buckets, counts). Stochastic gradient descent over small batches; only a
+    def dense(self, which: np.ndarray) -> np.ndarray:
+        n = self.size[which]
+        begin = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) + np.repeat(self.first[which] - begin, n)
+        x = np.zeros((len(which), BUCKETS), np.float32)
+        x.ravel()[self.at[k] + np.repeat(np.arange(len(which)) * BUCKETS, n)] = self.value[k]
+        return x
+
+
+def fit(rows: Rows, which: np.ndarray, y: np.ndarray, n: int, epochs: int = 10, rate: float = 40.0, batch: int = 64, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(table, bias) of n classes from some of the rows, of classes y. Stochastic gradient descent over small batches; only a
     batch is ever dense."""
     r = np.random.default_rng(seed)
     e = r.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
     w, b = r.normal(0, 0.3, (DIM, n)).astype(np.float32), np.zeros(n, np.float32)
     for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        for i in np.array_split(r.permutation(len(y)), max(1, len(y) // 32)):
-            xi = dense([rows[k] for k in i])
+        step = np.float32(rate * (1 - epoch / epochs))
+        for i in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
+            xi = rows.dense(which[i])
             h = xi @ e
             z = h @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(i)), y[i]] -= 1
-            p /= len(i)
+            p *= step / len(i)
             dh = p @ w.T
-            w -= 0.02 * step * (h.T @ p)
-            b -= 0.02 * step * p.sum(0)
-            e -= step * (xi.T @ dh)
+            w -= np.float32(0.02) * (h.T @ p)
+            b -= np.float32(0.02) * p.sum(0)
+            e -= xi.T @ dh
     return e @ w, b
 
 
-FOUND = "lang string, held boolean, whole boolean, at array<int>, n array<int>"
+FOUND = "lang string, held boolean, kind int, at array<int>, n array<int>"
+
+
+def shuffled(c: np.ndarray, r: np.random.Generator) -> np.ndarray:
+    """The letters of c in another order; words keep their lengths."""
+    out, at = c.copy(), np.flatnonzero(c)
+    out[at] = c[r.permutation(at)]
+    return out
+
+
+def even(c: np.ndarray, r: np.random.Generator) -> np.ndarray:
+    """Letters drawn evenly from those of c; words keep their lengths."""
+    out, at = c.copy(), np.flatnonzero(c)
+    out[at] = r.choice(np.unique(c[at]), len(at))
+    return out
 
 
 def _features(batches):
@@ -133,13 +167,18 @@ def _features(batches):
         rows = []
         for t, lang, held in zip(pdf["text"], pdf["lang"], pdf["held"], strict=True):
             c = folded(t)
-            parts = [c] + [c[s : s + SEGMENT] for s in np.linspace(0, max(0, len(c) - SEGMENT), SEGMENTS, dtype=int)] * (len(c) > 2 * SEGMENT)
-            for k, part in enumerate(parts):
-                if part.any():
-                    counts = subwords(part)
-                    at = np.flatnonzero(counts)
-                    rows.append((lang, held, k == 0, at.astype(np.int32), counts[at].astype(np.int32)))
-        yield pd.DataFrame(rows, columns=["lang", "held", "whole", "at", "n"])
+            if not c.any():
+                continue
+            r = np.random.default_rng(crc32(c.tobytes()))
+            parts = [c[s : s + SEGMENT] for s in np.linspace(0, max(0, len(c) - SEGMENT), SEGMENTS, dtype=int)] if len(c) > 2 * SEGMENT else []
+            parts = [p for p in parts if p.any()]
+            part = parts[0] if parts else c
+            kinds = [(WHOLE, c), *[(PART, p) for p in parts], (SHUFFLED, shuffled(c, r)), (SHUFFLED, shuffled(part, r)), (EVEN, even(part, r))]
+            for kind, x in kinds:
+                counts = subwords(x)
+                at = np.flatnonzero(counts)
+                rows.append((lang, held, kind, at.astype(np.int32), counts[at].astype(np.int32)))
+        yield pd.DataFrame(rows, columns=["lang", "held", "kind", "at", "n"])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -147,34 +186,74 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _none() -> LanguageModel:
+    return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32))
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     """A model from the labelled rows of docs (doc_id, text, lang) that are not held out."""
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     if not sizes:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))]), F.col("lang"))
+        return _none()
+    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SALT)), F.lit(1 << 20)) / float(1 << 20)
     held = F.pmod(F.xxhash64("doc_id", F.lit(SALT + 1)), F.lit(4)) == 0
     rows = known.filter(draw < share).select("text", "lang", held.alias("held")).mapInPandas(_features, FOUND).toPandas()
+    return fitted(rows) if len(rows) else _none()
+
+
+def fitted(rows: pd.DataFrame) -> LanguageModel:
+    """The model of a sample (FOUND), calibrated on its held-back rows; the same whatever the order of the rows."""
+    rows = rows.iloc[np.lexsort((rows["at"].map(lambda a: crc32(np.asarray(a, np.int32).tobytes())), rows["kind"], rows["lang"]))]
     langs = sorted(set(rows["lang"]))
-    if not langs:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-    rows = rows.iloc[np.lexsort((rows["at"].map(lambda a: crc32(np.asarray(a, np.int32).tobytes())), rows["lang"]))]  # the same order whatever the tasks' order
-    y = rows["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
-    x = list(zip(rows["at"], rows["n"], strict=True))
-    held, whole = rows["held"].to_numpy(bool), rows["whole"].to_numpy(bool)
-    learn = ~held if (~held).any() else np.ones(len(y), bool)
-    table_, bias = fit([x[k] for k in np.flatnonzero(learn)], y[learn], len(langs))
-    m = LanguageModel(langs, table_.astype(np.float32), bias)
-    check = held & whole if (held & whole).any() else learn
-    z = dense([x[k] for k in np.flatnonzero(check)]) @ m.table + m.bias
-    m.temperature = min((float(t) for t in np.geomspace(0.25, 4, 33)), key=lambda t: _loss(z / t, y[check]))
-    p = np.exp(z / m.temperature - (z / m.temperature).max(1, keepdims=True))
-    m.threshold = float(min(MOST_REJECTED, np.quantile((p / p.sum(1, keepdims=True)).max(1), REJECT)))
+    x = Rows(rows["at"].tolist(), rows["n"].tolist())
+    lang = rows["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
+    kind, held = rows["kind"].to_numpy(), rows["held"].to_numpy(bool)
+    made = kind >= SHUFFLED
+    learn = ~held if (~held & ~made).any() else np.ones(len(lang), bool)
+    check = held if (held & ~made).any() else learn
+
+    def trained(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(table, bias) from the learnable rows of some languages; the last class is none."""
+        number = np.cumsum(some) - 1
+        at = np.flatnonzero(learn & some[lang])
+        return fit(x, at, np.where(made[at], some.sum(), number[lang[at]]), int(some.sum()) + 1)
+
+    def logits(model: tuple, which: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(which)
+        return np.concatenate([x.dense(part) @ model[0] + model[1] for part in np.array_split(at, len(at) // 256 + 1)])
+
+    def margin(z: np.ndarray) -> np.ndarray:
+        return z[:, :-1].max(1) - z[:, -1]
+
+    every = np.ones(len(langs), bool)
+    m = LanguageModel(langs, *trained(every))
+    z = logits((m.table, m.bias), check)
+    y, k = np.where(made[check], len(langs), lang[check]), kind[check]
+    m.temperature = min((float(t) for t in np.geomspace(0.25, 4, 33)), key=lambda t: _loss(z / t, y))
+    refuse = [margin(z[k == i]) for i in (SHUFFLED, EVEN)]
+    strange = []
+    for f in range(min(FOLDS, len(langs)) if len(langs) > 1 else 0):
+        left = np.arange(len(langs)) % FOLDS == f
+        strange.append(margin(logits(trained(~left), check & ~made & left[lang])))
+    m.threshold = parted(margin(z[k < SHUFFLED]), [*refuse, *([np.concatenate(strange)] if strange else [])])
     return m
 
 
+def parted(take: np.ndarray, refuse: list[np.ndarray]) -> float:
+    """The value that parts what is to be taken (at or above it) from what is to be refused, each kind of which counts alike."""
+    low, weight = np.concatenate(refuse), np.concatenate([np.full(len(r), 1 / (len(refuse) * len(r))) for r in refuse if len(r)])
+    at = np.unique(np.r_[take, low])
+    lost = np.searchsorted(np.sort(take), at) / len(take)
+    order = np.argsort(low)
+    caught = np.r_[0, np.cumsum(weight[order])][np.searchsorted(low[order], at)]
+    best = int(np.argmax(caught - lost))
+    # the cut may lie anywhere between the value below and this one
+    middle = float((at[best - 1] + at[best]) / 2) if best else float(at[0])
+    return min(middle, float(np.quantile(take, REJECT)))
+
+
 def _loss(z: np.ndarray, y: np.ndarray) -> float:
     z = z - z.max(1, keepdims=True)
     return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]))

@@ -524,3 +524,27 @@ def test_predictions_do_not_depend_on_labels_of_held_out_rows(spark):
     odd = table.withColumn("lang", F.when(language_id.held_out(), F.lit("zz")).otherwise(F.col("lang")))
     a, b = (language_id.identified(t) for t in (table, odd))
     assert got(a, "doc_id", "lang_pred", "score") == got(b, "doc_id", "lang_pred", "score")
+
+
+def test_language_id_rejects_what_it_does_not_know(spark):
+    """Key mash, other scripts, shuffled letters and a language that was left out are mostly rejected, known languages are not, and
+    the score is about the probability of being right."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null and text rlike '[A-Za-z]'")
+    known, left = table.filter("lang != 'fr'"), [r.text for r in table.filter("lang = 'fr'").select("text").collect()]
+    m = language_id.train(known)
+    r = random.Random(2)
+    mash = ["".join(r.choice("asdfghjklqwertyuiopzxcvbnm" + " " * 4) for _ in range(r.randrange(40, 300))) for _ in range(100)]
+    script = ["".join(chr(r.randrange(lo, hi)) if r.random() < 0.85 else " " for _ in range(80)) for lo, hi in ((0x430, 0x450), (0x3B1, 0x3C9), (0x4E00, 0x4F00)) for _ in range(20)]
+    for texts, least in ((mash, 0.95), (script, 0.95), (left, 0.9)):
+        assert np.mean([m.predict(t)[2] for t in texts]) >= least
+    out = [(x.lang, m.predict(x.text)) for x in known.filter(language_id.held_out()).select("lang", "text").collect()]
+    assert np.mean([p[2] for _, p in out]) <= 0.01
+    right = [lang == p[0] for lang, p in out]
+    assert np.mean(right) > 0.98 and abs(np.mean(right) - np.mean([p[1] for _, p in out])) < 0.05
+
+
+def test_the_threshold_parts_both_sides():
+    take = np.array([5.0, 6, 7, 8])
+    assert language_id.parted(take, [np.array([0.0, 1]), np.array([-3.0, 2])]) == pytest.approx(3.5)
+    overlapping = language_id.parted(np.arange(1000.0), [np.array([500.0])])
+    assert overlapping <= np.quantile(np.arange(1000.0), language_id.REJECT)
