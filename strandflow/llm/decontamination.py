@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import table, written
+from strandflow.llm.common import kept_apart, table, written
 
 WINDOW = 10
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,7 +60,8 @@ def prefixes(windows: DataFrame, docs: DataFrame, tiny: bool) -> DataFrame:
     distinct = windows.select("ws").distinct()
     vocabulary = distinct.select(F.explode("ws").alias("word")).select(F.lower("word").alias("word")).distinct()
     seen = docs.select(F.explode(words(F.col("text"))).alias("word")).select(F.lower("word").alias("word"))
-    seen = seen.join(F.broadcast(vocabulary) if tiny else vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # counted first where the vocabulary is shuffled: of a frequent word a few rows a task travel, not one an occurrence
+    seen = seen.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n")) if tiny else seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "word", "left_semi")
     w = distinct.select("ws", F.posexplode("ws").alias("off", "word")).withColumn("word", F.lower("word")).join(seen, "word", "left")
     # a word that no document has ends the search for its window
     rarest = w.groupBy("ws").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "word")).alias("p")).filter("p.n > 0")
@@ -119,8 +120,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, mos
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of docs without any occurrence of a window, unchanged. A null text is clean."""
     hits = written(occurrences(docs.select("text"), benchmark.select("item_id", "text"), size).select("digest").distinct())
-    name = "dc_digest"
-    return docs.withColumn(name, F.sha2("text", 256)).join(hits.withColumnRenamed("digest", name), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = kept_apart(docs, digest=F.sha2("text", 256))
+    return d.join(hits, "digest", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,32 @@
 """Near-duplicate groups by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are the distinct runs of SHINGLE words of a text (of all its words if it has fewer), weighted by their number in the
-text times a damped inverse document frequency, 1 + d ln(1 + N / df). df is counted over all documents in 2^20 hash
-buckets (8 MB, whatever the input). d is DAMP, small: what a large group of copies shares is frequent because the group is large,
-and its few differences must not outweigh it. Samples are drawn by the same weights as texts are compared by (DRAWN is DAMP), so
-that banding holds at the similarity that links are judged by. Weights are rounded to eighths of an octave.
+text times a damped inverse document frequency, 1 + DAMP ln(1 + N / df). DAMP is small because of the groups of copies: what
+thousands of copies share is frequent for that reason alone, and at the usual damping the few words in which they differ would weigh
+several times as much, so that no two of them reached THRESHOLD. The same weights, rounded to eighths of an octave, serve for samples and
+for comparisons. df is counted over all documents in two rows of 2^DF_BITS counters (8 MB, whatever the input); a counter less
+the load that the others lead one to expect estimates a shingle's df, and the smaller estimate counts, so rare shingles stay rare
+when every counter is full.
 
 A signature has BANDS x ROWS samples. Sample k of a weighted set is the element and the quantised weight with the least a,
 where r, c ~ Gamma(2, 1) and b ~ U(0, 1) depend on the element and k, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1). The
-three variables come from 4,096 drawn triples per k that the element's hash chooses from, so ln a is a table look-up and the hash
-breaks ties; two sets agree in a sample with about their weighted Jaccard similarity.
+three variables are quantiles (65,536 of each) chosen by three parts of a hash of element and k; two sets agree in a
+sample with a probability of about their weighted Jaccard similarity.
 
-Texts that share a band are compared exactly, by weighted Jaccard similarity: up to GROUP of them in one task, which links what
+Texts that share a band are compared exactly, by weighted Jaccard similarity: up to GROUP of them, of up to GROUP_SIZE shingles,
+in one task, which links what
 is similar and not yet joined. In larger bands all are compared with the band's first, and what is not in the largest component
 of the band then with a second text of that, a linear number of pairs. Bands in one component are done. All texts of the other
 bands, linked or not, stay as possible partners (similarity is not transitive): only pairs within one component are skipped. Up
 to REST texts of a band are compared in one task; the texts of larger bands are joined anew on the rarest shingles and the weight
-of each text, of which similar texts share one (prefix filtering, exact), and where more than REST share one, blocks of them are
-compared in pairs. Links of THRESHOLD and more are joined to classes by min-label propagation with pointer jumping. Copies of a
+of each text, of which similar texts share one (prefix filtering, exact), and where more than REST texts or REST_SIZE shingles share one,
+blocks of them are compared in pairs. Links of THRESHOLD and more are joined to classes by min-label propagation with pointer jumping. Copies of a
 text are one node.
 
 Defined cases: a null text is a class of its own, as is a text without words unless it has exact copies; exact copies are one class
 whatever their length; the class id is the least doc_id of the class (null last; null only if all are); of rows with the same
-doc_id and text one stays in `representatives`; an empty table gives an empty result; other columns are ignored or carried along.
+doc_id and text one stays in `representatives`; an empty table gives an empty result; other columns are ignored or carried along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,22 +38,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import flagged, table, written
+from strandflow.llm.common import flagged, kept_apart, table, written
 from strandflow.llm.rolling import U, mixed, runs, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
-#: The damping of the inverse document frequency where samples are drawn, and where texts are compared.
+#: The damping of the inverse document frequency.
 DAMP = 0.04
-DRAWN = DAMP
-DF_BITS, CHUNK = 20, 4096
-TRIPLES = 12
-#: Weights, in eighths of an octave, whose tables a worker keeps.
-LEVELS = 32
+DF_BITS, CHUNK = 19, 4096
+#: Quantiles of each of a sample's three variables.
+QUANTILES = 1 << 16
 EIGHTH = np.log(2) / 8
-#: Texts of one band that are compared in one task; larger bands are first compared with one or two of their texts. REST: the same
-#: for those of them that are in several components after that.
+#: Texts of one band, and their shingles, that are compared in one task; larger bands are first compared with one or two of their
+#: texts. REST: the same for those of them that are in several components after that.
 GROUP, REST = 512, 2048
+GROUP_SIZE = REST_SIZE = 2_000_000
 #: Bytes of text whose signatures are made at a time.
 PIECE = 1 << 18
 
@@ -72,36 +75,35 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(tf), sizes
 
 
-def _pieces(batches):
-    """(digests, shingles) of distinct texts of a partition."""
-    seen: set[str] = set()
-    for pdf in batches:
-        part, ids, size = [], [], 0
-        for d, t in zip(pdf["digest"].tolist(), pdf["text"].tolist(), strict=True):
-            if d in seen:
-                continue
-            if len(seen) > 500_000:  # forgetting only means that a copy speaks again
-                seen.clear()
-            seen.add(d)
-            ids.append(d)
-            part.append(t.encode())
-            size += len(part[-1])
-            if size >= PIECE:
-                yield ids, *shingles(part)
-                part, ids, size = [], [], 0
-        if part:
-            yield ids, *shingles(part)
+def _pieces(texts: list[str]):
+    """(numbers of the texts, shingles of them), some at a time."""
+    at, part, size = [], [], 0
+    for k, t in enumerate(texts):
+        at.append(k)
+        part.append(t.encode())
+        size += len(part[-1])
+        if size >= PIECE or k == len(texts) - 1:
+            yield np.array(at), *shingles(part)
+            at, part, size = [], [], 0
+
+
+def _slots(h: np.ndarray) -> list[np.ndarray]:
+    """The counter of each shingle in either row."""
+    return [(h >> U(64 - DF_BITS * (j + 1))).astype(np.int64) & ((1 << DF_BITS) - 1) for j in (0, 1)]
 
 
 def _frequencies(batches):
-    total = np.zeros(1 << DF_BITS, np.int64)
-    for _, h, _, sizes in _pieces(batches):
-        b = (h >> U(64 - DF_BITS)).astype(np.int64)
-        # a text counts once in a bucket; its hashes are sorted, so equal buckets are adjacent
-        new = np.r_[True, b[1:] != b[:-1]] if len(b) else np.zeros(0, bool)
-        new[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        total += np.bincount(b[new], minlength=1 << DF_BITS)
-    rows = []
+    """The counters of a partition: each row counts; equal texts of a batch are cut up once."""
+    total = np.zeros((2, 1 << DF_BITS), np.int64)
+    for pdf in batches:
+        code, first = pd.factorize(pdf["digest"])
+        copies = np.bincount(code, minlength=len(first))
+        texts = pdf["text"].to_numpy(object)[np.unique(code, return_index=True)[1]].tolist()
+        for at, h, _, sizes in _pieces(texts):
+            n = np.repeat(copies[at], sizes)
+            for row, slot in zip(total, _slots(h), strict=True):
+                row += np.bincount(slot, n, 1 << DF_BITS).astype(np.int64)
+    rows, total = [], total.ravel()
     for i in range(0, len(total), CHUNK):
         part = total[i : i + CHUNK]
         if part.any():
@@ -125,72 +127,80 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def idf_levels(docs: DataFrame) -> np.ndarray:
-    """The weight of one shingle of each hash bucket, in eighths of an octave: row 0 for samples, row 1 for comparisons.
+    """The weight of one shingle by its counter in either row, in eighths of an octave.
 
-    Counted over all documents; 256 rows come back."""
+    Counted over all documents; 256 rows of 32 kB come back."""
     texts = texts_of(docs)
     n = texts.mapInPandas(_frequencies, "chunk int, n binary").groupBy("chunk").applyInPandas(_summed, "chunk int, n binary").collect()
-    df = np.zeros(1 << DF_BITS, np.int64)
+    df = np.zeros(2 << DF_BITS, np.int64)
     for r in n:
         df[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.n, np.int64)
-    rare = np.log1p(max(1, texts.count()) / np.maximum(df, 1))
-    return np.stack([np.rint(np.log(1 + d * rare) / EIGHTH) for d in (DRAWN, DAMP)]).astype(np.int16)
-
-
-@lru_cache(maxsize=BANDS * ROWS)
-def triples(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(r, ln c, b) of sample k."""
-    g = np.random.default_rng([17, k])
-    r, c, b = g.gamma(2, 1, 1 << TRIPLES), g.gamma(2, 1, 1 << TRIPLES), g.random(1 << TRIPLES)
-    return r, np.log(c), b
+    return levels(df.reshape(2, -1), texts.count())
 
 
-def least_table(k: int, level: int) -> np.ndarray:
-    """For sample k and a weight: ln a, as sortable bits, over the quantised weight, for each triple."""
-    r, c, b = triples(k)
-    t = np.floor(level * EIGHTH / r + b)
-    bits = (c - r * (t - b + 1)).astype(np.float32).view(np.uint32)
-    bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(U)
-    return bits << U(32) | (t.astype(np.int64) & 0xFF).astype(U) << U(24)
+def levels(df: np.ndarray, n: int) -> np.ndarray:
+    others = (df.sum(1, keepdims=True) - df) / (df.shape[1] - 1)
+    rare = np.log1p(max(1, n) / np.clip(df - others, 1, None))
+    return np.rint(np.log(1 + DAMP * rare) / EIGHTH).astype(np.int16)
 
 
-@lru_cache(maxsize=BANDS * ROWS)
-def usual_tables(k: int) -> np.ndarray:
-    """The tables of the weights below LEVELS; 1 MB a sample."""
-    return np.concatenate([least_table(k, x) for x in range(LEVELS)])
+@lru_cache(maxsize=1)
+def variables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quantiles of r, 1 / r and ln c for r, c ~ Gamma(2, 1)."""
+    x = np.geomspace(1e-4, 50, 1 << 18)
+    q = (np.arange(QUANTILES) + 0.5) / QUANTILES
+    g = np.interp(q, -np.expm1(-x) - x * np.exp(-x), x)
+    return g.astype(np.float32), (1 / g).astype(np.float32), np.log(g).astype(np.float32)
 
 
 def signatures(h: np.ndarray, tf: np.ndarray, sizes: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The samples of each text that has shingles, BANDS x ROWS of 32 bits."""
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    level = weights(h, tf, idf)
-    rare = np.unique(level[level >= LEVELS])
-    of = np.where(level < LEVELS, level, LEVELS + np.searchsorted(rare, level)) << TRIPLES
+    w = (weights(h, tf, idf) * EIGHTH).astype(np.float32)
+    r, inverse, c = variables()
     low = h & U((1 << 24) - 1)
     out = np.empty((len(first), BANDS * ROWS), np.uint32)
     for k in range(BANDS * ROWS):
-        odd = U((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (k << 40)) & ((1 << 64) - 1) | 1)
-        at = ((h * odd) >> U(64 - TRIPLES)).astype(np.int64) + of
-        table_ = np.concatenate([usual_tables(k), *[least_table(k, x) for x in rare.tolist()]]) if len(rare) else usual_tables(k)
-        out[:, k] = np.minimum.reduceat(table_[at] | low, first) & U(0xFFFFFFFF)
+        z = (h ^ U((0xA24BAED4963EE407 * (k + 1)) & ((1 << 64) - 1))) * U(0x9FB21C651E98DF25)
+        z ^= z >> U(32)
+        z *= U(0xD6E8FEB86659FD93)
+        part = (z ^ (z >> U(29))).view(np.uint16).reshape(-1, 4)
+        at, b = part[:, 3], part[:, 1] * np.float32(1 / QUANTILES)
+        t = np.floor(w * inverse[at] + b)
+        a = (c[part[:, 2]] - r[at] * (t - b + np.float32(1))).view(np.uint32)
+        # as sortable bits; then the quantised weight and the element, which settle ties and are what is sampled
+        a ^= np.where(a >> 31, np.uint32(0xFFFFFFFF), np.uint32(1 << 31))
+        out[:, k] = np.minimum.reduceat(a.astype(U) << U(32) | (t.astype(np.int64) & 0xFF).astype(U) << U(24) | low, first) & U(0xFFFFFFFF)
     return out
 
 
 def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return idf[(h >> U(64 - DF_BITS)).astype(np.int64)] + np.rint(np.log(tf) / EIGHTH).astype(np.int64)
+    """In eighths of an octave. The rarer of both counters, whose estimate of df is the smaller, gives the level."""
+    a, b = _slots(h)
+    return np.maximum(idf[0][a], idf[1][b]) + np.rint(np.log(tf) / EIGHTH).astype(np.int64)
 
 
 def _bands(idf):
     def of(batches):
-        for ids, h, tf, sizes in _pieces(batches):
-            if not len(h):
-                continue
-            s = signatures(h, tf, sizes, idf.value[0]).astype(U).reshape(-1, BANDS, ROWS)
-            key = np.full(s.shape[:2], U(0)) + np.arange(1, BANDS + 1, dtype=U)
-            for j in range(ROWS):
-                key = mixed(key * U(0x9E3779B97F4A7C15) + s[:, :, j])
-            ids = np.array(ids, object)[sizes > 0]
-            yield pd.DataFrame({"key": key.view(np.int64).ravel(), "digest": [bytes.fromhex(x) for x in np.repeat(ids, BANDS)]})
+        seen: set[str] = set()
+        for pdf in batches:
+            ids, texts = [], []
+            for d, t in zip(pdf["digest"].tolist(), pdf["text"].tolist(), strict=True):
+                if d not in seen:
+                    if len(seen) > 500_000:  # forgetting only means that a copy speaks again
+                        seen.clear()
+                    seen.add(d)
+                    ids.append(bytes.fromhex(d))
+                    texts.append(t)
+            for at, h, tf, sizes in _pieces(texts):
+                if not len(h):
+                    continue
+                s = signatures(h, tf, sizes, idf.value).astype(U).reshape(-1, BANDS, ROWS)
+                key = np.full(s.shape[:2], U(0)) + np.arange(1, BANDS + 1, dtype=U)
+                for j in range(ROWS):
+                    key = mixed(key * U(0x9E3779B97F4A7C15) + s[:, :, j])
+                some = at[sizes > 0]
+                yield pd.DataFrame({"key": key.view(np.int64).ravel(), "digest": [ids[x] for x in np.repeat(some, BANDS)], "size": np.repeat(sizes[sizes > 0], BANDS)})
 
     return of
 
@@ -217,8 +227,8 @@ def _similarities(idf):
         out, last, vector = [], None, None
         for a, b in zip(left, right, strict=True):
             if a is not last and a != last:
-                last, vector = a, weighted(a, idf.value[1])
-            out.append(similarity(vector, weighted(b, idf.value[1])))
+                last, vector = a, weighted(a, idf.value)
+            out.append(similarity(vector, weighted(b, idf.value)))
         return pd.Series(out, dtype="float64")
 
     return F.pandas_udf(of, "double")
@@ -232,7 +242,7 @@ def _linked(idf):
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "digest"])
         ids = rows["digest"].tolist()
-        vectors = [weighted(t, idf.value[1]) for t in rows["text"]]
+        vectors = [weighted(t, idf.value) for t in rows["text"]]
         total = np.array([w.sum() for _, w in vectors])
         size = np.array([len(h) for h, _ in vectors])
         first = np.cumsum(size) - size
@@ -271,17 +281,18 @@ def _prefixes(idf):
 
     def of(batches):
         for pdf in batches:
-            keys, ids = [], []
+            keys, ids, sizes = [], [], []
             for d, t in zip(pdf["digest"], pdf["text"], strict=True):
-                h, w = weighted(t, idf.value[1])
-                order = np.lexsort((h, -idf.value[1][(h >> U(64 - DF_BITS)).astype(np.int64)]))
+                h, w = weighted(t, idf.value)
+                order = np.lexsort((h, -weights(h, np.ones(len(h)), idf.value)))
                 left = w.sum() - np.cumsum(w[order])
                 n = min(len(h), int(np.count_nonzero(left >= THRESHOLD * w.sum() * (1 - 1e-9))) + 1)
                 if len(h):
                     class_ = int(np.floor(np.log(w.sum()) / -np.log(THRESHOLD)))
                     keys += [mixed(h[order[:n]] + U((c * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))).view(np.int64) for c in (class_, class_ + 1)]
                     ids += [d] * (2 * n)
-            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "digest": ids})
+                    sizes += [len(h)] * (2 * n)
+            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "digest": ids, "size": sizes})
 
     return of
 
@@ -295,11 +306,11 @@ def links(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = texts_of(docs)
     idf = spark.sparkContext.broadcast(idf_levels(docs))
-    bands = written(texts.mapInPandas(_bands(idf), "key long, digest binary"))
+    bands = written(texts.mapInPandas(_bands(idf), "key long, digest binary, size long"))
 
     def shared(rows: DataFrame) -> DataFrame:
-        n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("first"), F.max("digest").alias("last"))
-        n = written(n.filter("first != last").select("key", "n", "first"))
+        n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("whole"), F.min("digest").alias("first"), F.max("digest").alias("last"))
+        n = written(n.filter("first != last").select("key", ((F.col("n") <= GROUP) & (F.col("whole") <= GROUP_SIZE)).alias("small"), "first"))
         return written(rows.join(n, "key").distinct())
 
     members = shared(bands)
@@ -308,7 +319,7 @@ def links(docs: DataFrame) -> DataFrame:
     # one text of each digest that shares a band; copies go before the shuffle
     t = flagged(t, wanted, "digest", "shares").filter("shares").select("digest", "text").mapInPandas(_once, "digest binary, text string")
     known = written(t.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
-    same, small, large = _similarities(idf), members.filter(F.col("n") <= GROUP), members.filter(F.col("n") > GROUP)
+    same, small, large = _similarities(idf), members.filter("small"), members.filter("not small")
     # the same few texts share most of their bands: equal groups are compared once
     groups = small.groupBy("key").agg(F.array_sort(F.collect_set("digest")).alias("g")).select("g").distinct()
     rows = groups.select(F.md5(F.array_join(F.transform("g", F.hex), "")).alias("gid"), F.explode("g").alias("digest"))
@@ -322,42 +333,52 @@ def links(docs: DataFrame) -> DataFrame:
         return written(pairs.select("a", "b", same("ta", "tb").alias("similarity")).filter(F.col("similarity") >= THRESHOLD))
 
     found = compared(large.filter("digest != first").select(F.col("first").alias("a"), F.col("digest").alias("b")).distinct())
-    large = _open(large.select("key", "digest"), components(found))
+    large = _open(large.select("key", "digest", "size"), components(found))
     # a second one of the largest component meets what is not joined to it
     second = large.filter("label = top").groupBy("key").agg(F.min_by("digest", F.xxhash64("digest")).alias("a"))
     pairs = large.filter("label != top").join(second, "key").select("a", F.col("digest").alias("b")).distinct()
     found = found.unionByName(compared(pairs))
     labels = components(found)
-    large = _open(large.select("key", "digest"), labels)
-    rest = large.filter(F.col("n") > REST)
+    large = _open(large.select("key", "digest", "size"), labels)
+    rest = large.filter(_more(F.col("n"), F.col("whole")))
     if not rest.isEmpty():
         # texts with one very common line: an exact prefix join finds the similar ones among them
         texts_left = known.join(written(rest.select("digest").distinct()), "digest", "left_semi")
-        keys = _open(written(texts_left.mapInPandas(_prefixes(idf), "key long, digest binary")), labels)
-        large = large.filter(F.col("n") <= REST).unionByName(keys)
+        keys = _open(written(texts_left.mapInPandas(_prefixes(idf), "key long, digest binary, size long")), labels)
+        large = large.filter(~_more(F.col("n"), F.col("whole"))).unionByName(keys)
     groups = _tiles(large).groupBy("key", "tile").agg(F.array_sort(F.collect_set(F.struct("digest", "label", "side"))).alias("g")).select("g").distinct()
     gid = F.md5(F.array_join(F.transform("g", lambda x: F.concat(F.hex(x["digest"]), x["side"].cast("string"))), ""))
     rows = rows.unionByName(groups.select(gid.alias("gid"), F.explode("g").alias("m")).select("gid", "m.digest", "m.label", "m.side"))
     return rows.join(known, "digest").groupBy("gid").applyInPandas(_linked(idf), LINK).unionByName(found)
 
 
+def _more(n: Column, size: Column) -> Column:
+    """Too many texts, or too long ones, for one task."""
+    return (n > REST) | (size > REST_SIZE)
+
+
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (key, digest) of keys whose texts are in several components, with the label of each, the number of texts of the
-    key, and its largest component: top, of n_top texts."""
+    """The rows (key, digest, size) of keys whose texts are in several components, with the label of each, the number of texts of
+    the key, n, and of their shingles, whole, and its largest component: top, of n_top texts and size_top shingles."""
     r = written(rows.distinct().join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest")))
-    each = r.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    of = each.groupBy("key").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("c", "label")).alias("t"))
-    of = written(of.filter("n_labels > 1").select("key", "n", F.col("t.label").alias("top"), F.col("t.c").alias("n_top")))
+    each = r.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    of = each.groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("whole"), F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("c", "label", "s")).alias("t"))
+    of = written(of.filter("n_labels > 1").select("key", "n", "whole", F.col("t.label").alias("top"), F.col("t.c").alias("n_top"), F.col("t.s").alias("size_top")))
     return written(r.join(of, "key"))
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """key, tile, digest, label, side: groups of about REST texts at most in which every pair of a key's texts meets, but those
-    within its largest component. Texts of side 0 are compared with all of the tile, those of side 1 only with side 0."""
-    half = max(1, REST // 2)
+    """key, tile, digest, label, side: groups of about REST texts and REST_SIZE shingles at most in which every pair of a key's texts
+    meets, but those within its largest component. Texts of side 0 are compared with all of the tile, those of side 1 only with side 0."""
+    half, half_size = max(1, REST // 2), max(1, REST_SIZE // 2)
     other = F.col("label") != F.col("top")
-    n_other, n_top = (F.when(F.col("n") <= REST, 1).otherwise(F.ceil(c / half)).cast("int") for c in (F.col("n") - F.col("n_top"), F.col("n_top")))
-    d = rows.withColumn("n_other", n_other).withColumn("n_tops", n_top)
+
+    def blocks(n: Column, size: Column) -> Column:
+        many = F.greatest(F.ceil(n / half), F.ceil(size / half_size))
+        return F.when(_more(F.col("n"), F.col("whole")), many).otherwise(1).cast("int")
+
+    d = rows.withColumn("n_other", blocks(F.col("n") - F.col("n_top"), F.col("whole") - F.col("size_top")))
+    d = d.withColumn("n_tops", blocks(F.col("n_top"), F.col("size_top")))
     d = d.withColumn("at", F.pmod(F.xxhash64("digest"), F.when(other, F.col("n_other")).otherwise(F.col("n_tops"))).cast("int"))
 
     def tile(kind: int, i: Column, j: Column, side: Column) -> Column:
@@ -396,13 +417,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(digest, label, n_links of each text with a link; label, first_id, n_first, size of each class of several rows).
-
-    n_first: how many rows are equal to the first in doc_id and text."""
-    edges = written(links(docs))
-    degree = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of = written(components(edges).join(degree, "node").select(F.lower(F.hex("node")).alias("digest"), F.lower(F.hex("label")).alias("label"), "n_links"))
+def classes(docs: DataFrame) -> DataFrame:
+    """digest, label, first_id, first_digest, size of each text whose class has several rows: its class, the class's first row
+    (of least doc_id) and number of rows."""
+    of = written(components(written(links(docs))).select(F.lower(F.hex("node")).alias("digest"), F.lower(F.hex("label")).alias("label")))
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("digest"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     each = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
@@ -410,32 +428,28 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = written(each.join(of, "digest", "left").filter("n > 1 or label is not null").select("digest", F.coalesce("label", "digest").alias("label"), "n", "first"))
     groups = each.groupBy("label").agg(F.sum("n").alias("size"), F.min("first").alias("first"))
     firsts = groups.select("label", "size", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
-    member = each.select("digest", "label").join(firsts, "label")
-    member = written(member.join(of.select("digest", "n_links"), "digest", "left"))
-    return of, member
+    return written(each.select("digest", "label").join(firsts, "label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size, n_links (links of its text to different texts): a row for each row."""
-    _, member = classes(docs.select("doc_id", "text"))
+    """doc_id, class_id (the least doc_id of its class), class_size: a row for each row."""
+    member = classes(docs.select("doc_id", "text"))
     d = docs.select("doc_id", F.md5("text").alias("digest"))
-    d = d.join(member.select("digest", "first_id", "size", "n_links"), "digest", "left")
+    d = d.join(member.select("digest", "first_id", "size"), "digest", "left")
     alone = F.col("size").isNull()
-    return d.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("class_id"), F.coalesce("size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return d.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("class_id"), F.coalesce("size", F.lit(1)).alias("class_size"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each class, unchanged: the one of least doc_id."""
-    _, member = classes(docs.select("doc_id", "text"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    d = flagged(docs.withColumn("nd_digest", F.md5("text")), member.select(F.col("digest").alias("nd_digest")), "nd_digest", "nd_flag")
-    m = member.select(F.col("digest").alias("nd_digest"), F.col("first_id").alias("nd_first"), F.col("first_digest").alias("nd_text"))
-    some = d.filter("nd_flag").join(m, "nd_digest", "left")
-    free = some.filter("nd_text is null").select(*columns)
+    member = classes(docs.select("doc_id", "text"))
+    d = flagged(kept_apart(docs, digest=F.md5("text")), member.select("digest"), "digest", "shares")
+    some = d.filter("shares").join(member.select("digest", "first_id", "first_digest"), "digest", "left")
+    free = some.filter("first_digest is null").select("row.*")
     # equal rows are one document: only the few rows that stay of a class with copies meet here
-    first = some.filter(F.col("nd_text") == F.col("nd_digest")).filter(F.col("doc_id").eqNullSafe(F.col("nd_first")))
-    first = first.dropDuplicates(["nd_digest"]).select(*columns)
-    return d.filter(~F.col("nd_flag")).select(*columns).unionByName(free).unionByName(first)
+    first = some.filter(F.col("first_digest") == F.col("digest")).filter(F.col("row.doc_id").eqNullSafe(F.col("first_id")))
+    first = first.dropDuplicates(["digest"]).select("row.*")
+    return d.filter("not shares").select("row.*").unionByName(free).unionByName(first)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
