@@ -7,7 +7,8 @@ the alphabets of keys, and identifiers made of ordinary words. The ratio of each
 millinats, so sums are exact and the same in any engine; the threshold is the one that best parts held-out samples.
 
 Positions are code points. A pattern's matches and the gaps between them, both from one pattern, give every match's start by
-adding lengths, so all is done with string and array functions of the engine.
+adding lengths, so all is done with string and array functions of the engine. What would grow an array by one element at a time works on
+blocks of about the root of its length, so n matches cost n^1.5 small steps at most, and a run of any length is scored in one pass.
 
 Defined cases: null and empty texts have no spans (empty string, its hash); equal spans of several kinds are all listed; texts
 of any length are scanned whole; rows are kept apart by the row itself, whatever doc_id is; an empty table gives an empty
@@ -102,34 +103,68 @@ def score(s: str, table_) -> int:
     return sum(table_[128 * ord(a) + ord(b)] for a, b in zip(s, s[1:], strict=False))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is made once, as each use of an expression is evaluated by itself."""
+    return F.transform(F.array(value), f)[0]
+
+
+def blocks(x: Column) -> Column:
+    """x cut into about the root of its length many parts; of no elements, none."""
+    size = F.ceil(F.sqrt(F.size(x))).cast("int")
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / size).cast("int") - 1), lambda k: F.slice(x, k * size + 1, size))).otherwise(F.slice(F.array(x), 1, 0))
+
+
+SPANS = "array<struct<s:int,e:int,m:string>>"
+
+
 def spans(text: Column, pattern: str, more: Column | None = None) -> Column:
     """array of struct(s, e, m) for the leftmost non-overlapping matches; m is the match, or what more has at its place."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # both lists are made once and bound, as each use of an expression is evaluated by itself
-    both = F.array(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g"), (more if more is not None else found).alias("o")))
 
-    def one(x: Column) -> Column:
-        start = F.aggregate(
-            F.zip_with(F.slice(x["g"], F.lit(1), F.size(x["m"])), F.zip_with(x["m"], x["o"], lambda m, o: F.struct(m.alias("m"), o.alias("o"))), lambda g, m: F.struct(F.length(g).alias("g"), F.length(m["m"]).alias("n"), m["o"].alias("o"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out")),
+    def steps(x: Column) -> Column:
+        """The lengths of the gap before each match and of the match, and m."""
+        pairs = F.zip_with(x["m"], x["o"], lambda m, o: F.struct(m.alias("m"), o.alias("o")))
+        return F.zip_with(F.slice(x["g"], F.lit(1), F.size(x["m"])), pairs, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m["m"]).alias("n"), m["o"].alias("o")))
+
+    def placed(block: Column) -> Column:
+        """(end, spans) of a block, counted from its own start."""
+        return F.aggregate(
+            block,
+            F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")),
             lambda acc, y: F.struct(
                 (acc["at"] + y["g"] + y["n"]).alias("at"),
                 F.concat(acc["out"], F.array(F.struct((acc["at"] + y["g"]).alias("s"), (acc["at"] + y["g"] + y["n"]).alias("e"), y["o"].alias("m")))).alias("out"),
             ),
         )
-        return start["out"]
 
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return F.when(F.regexp(text, F.lit(pattern)), F.transform(both, one)[0]).otherwise(empty)
+    def joined_up(parts: Column) -> Column:
+        starts = F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        return F.flatten(let(starts, lambda st: F.transform(parts, lambda x, k: F.transform(x["out"], lambda y: F.struct((y["s"] + st[k]).alias("s"), (y["e"] + st[k]).alias("e"), y["m"].alias("m"))))))
+
+    both = F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g"), (more if more is not None else found).alias("o"))
+    every = let(let(let(both, steps), lambda st: F.transform(blocks(st), placed)), joined_up)
+    return F.when(F.regexp(text, F.lit(pattern)), every).otherwise(F.array().cast(SPANS))
 
 
 def ratio(run: Column, table_) -> Column:
     values = F.split(F.lit(",".join(map(str, table_))), ",").cast("array<int>")
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(run) - 1),
-        F.lit(0),
-        lambda acc, i: acc + F.element_at(values, F.ascii(F.substring(run, i, F.lit(1))) * 128 + F.ascii(F.substring(run, i + 1, F.lit(1))) + 1),
-    )
+
+    def summed(code: Column) -> Column:
+        n = F.size(code) - 1
+        pairs = F.zip_with(F.slice(code, F.lit(1), n), F.slice(code, F.lit(2), n), lambda a, b: a * 128 + b + 1)
+        return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, k: acc + F.element_at(values, k))
+
+    return let(F.transform(F.split(run, ""), lambda c: F.ascii(c)), summed)
+
+
+def untouched(found: Column, base: Column) -> Column:
+    """The spans of found, which are in order, that none of base meets; each block of them is compared with what lies along it."""
+
+    def free(block: Column) -> Column:
+        near = F.filter(base, lambda x: (x["s"] < F.element_at(block, -1)["e"]) & (x["e"] > block[0]["s"]))
+        return let(near, lambda b: F.filter(block, lambda y: ~F.exists(b, lambda x: (x["s"] < y["e"]) & (y["s"] < x["e"]))))
+
+    return F.flatten(F.transform(blocks(found), free))
 
 
 def marks(found: Column, kind: str) -> Column:
@@ -155,8 +190,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         F.filter(spans(t, RUN), lambda x: ratio(x["m"], table_) > threshold).alias("r"),
     )
     d = d.withColumn("base", F.concat(marks(F.col("a"), "assign"), marks(F.col("k"), "access"), marks(F.col("x"), "hex")))
-    fresh = F.filter("r", lambda y: ~F.exists("base", lambda x: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    d = d.withColumn("more", marks(fresh, "markov"))
+    d = d.withColumn("more", marks(untouched(F.col("r"), F.col("base")), "markov"))
     return d.select(
         "doc_id",
         *[F.size(c).cast("long").alias(n) for c, n in (("a", "n_assign"), ("k", "n_access"), ("x", "n_hex"))],
