@@ -2,8 +2,9 @@
 
 `parse` reads a stream as found in the wild: it skips and reads ID3v2, APEv2 and ID3v1 tags, resynchronises on frame headers
 (a header counts only if the frame it announces is followed by a header of the same kind, by a tag or by the end), reads a
-Xing, Info or VBRI table of the first frame, verifies the CRC-16 of protected Layer III frames, and returns the number of
-samples of each frame, so durations are exact, with the byte offset of every SEEK-th frame.
+Xing, Info or VBRI table of the first frame with the encoder's delay and padding, verifies the CRC-16 of protected Layer III frames,
+and adds up the samples of all frames less delay and padding, so durations are exact, with the byte offset of every SEEK-th frame. Frames of
+free format (no bitrate in the header) have the size at which the next header follows.
 
 `store` puts any bytes losslessly into such a stream: each frame is MPEG-1 Layer III, mono, protected, with side information
 that announces no audio bits, so all that follows the side information is ancillary data; it carries UNIT bytes of payload.
@@ -32,6 +33,8 @@ from strandflow.llm.common import table
 
 UNIT = 576
 SEEK = 64
+#: The longest frame of free format: twice that of the highest bitrate.
+MOST_FREE = 4 * 2880
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 KBPS = {
     (3, 3): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -45,13 +48,14 @@ KBPS = {
 @lru_cache(maxsize=65536)
 def header(four: bytes) -> tuple | None:
     """(version, layer, protected, kbps, rate, mono, bytes of the frame, samples, bytes of side information); None: no frame header.
+    In free format kbps is 0 and the frame's bytes are what padding adds.
 
     version: 3 MPEG-1, 2 MPEG-2, 0 MPEG-2.5. layer: 3 Layer I, 2 Layer II, 1 Layer III, as the bits have it."""
     (h,) = struct.unpack(">I", four)
     if h >> 21 != 0x7FF:
         return None
     version, layer, rate_at, kbps_at = h >> 19 & 3, h >> 17 & 3, h >> 10 & 3, h >> 12 & 15
-    if version == 1 or layer == 0 or rate_at == 3 or kbps_at in (0, 15) or h & 3 == 2:
+    if version == 1 or layer == 0 or rate_at == 3 or kbps_at == 15 or h & 3 == 2:
         return None
     kbps = KBPS[(3, layer) if version == 3 else (2, 3 if layer == 3 else 2)][kbps_at]
     rate, pad, mono = RATES[version][rate_at], h >> 9 & 1, h >> 6 & 3 == 3
@@ -64,6 +68,20 @@ def header(four: bytes) -> tuple | None:
     return version, layer, not h >> 16 & 1, kbps, rate, mono, size, samples, side
 
 
+def free_size(data: bytes, at: int, end: int, h: tuple) -> int:
+    """The bytes, without padding, of a frame of free format: up to the next header of its kind, or to the end; 0 if there is none within
+    MOST_FREE bytes."""
+    nxt = at + 4
+    while True:
+        nxt = data.find(data[at : at + 1], nxt, min(end, at + MOST_FREE + 4))
+        if nxt < 0:
+            return end - at - h[6] if 4 < end - at <= MOST_FREE else 0
+        n = header(data[nxt : nxt + 4]) if nxt + 4 <= end else None
+        if n and n[:2] == h[:2] and n[3] == 0 and n[4] == h[4]:
+            return nxt - at - h[6]
+        nxt += 1
+
+
 def _crc_table() -> list[int]:
     out = []
     for b in range(256):
@@ -117,10 +135,15 @@ def rate_table(frame: bytes, h: tuple) -> dict | None:
                     p += 4
             if flags & 4:
                 out["toc"] = list(frame[p : p + 100])
+                p += 100
+            p += 4 * bool(flags & 8)
+            if frame[p : p + 4] in (b"LAME", b"Lavc", b"Lavf", b"L3.9") and len(frame) >= p + 24:
+                both = int.from_bytes(frame[p + 21 : p + 24], "big")
+                out |= {"encoder": frame[p : p + 9].decode("latin-1").strip("\0 "), "delay": both >> 12, "padding": both & 0xFFF}
             return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         size, frames, n, scale, width, per = struct.unpack(">IIHHHH", frame[46:62])
-        steps = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(min(n, 4096))]
+        steps = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(min(n, (len(frame) - 62) // width if width else 0))]
         return {"kind": "VBRI", "frames": frames, "bytes": size, "steps": steps, "frames_per_step": per}
     return None
 
@@ -142,9 +165,13 @@ def parse(data: bytes) -> dict:
         size = int.from_bytes(data[end - 20 : end - 16], "little")
         end = max(at, end - size - (32 if data[end - 9] & 0x80 else 0))
     offsets, table_, samples, rate, kbps, bad, checked, resyncs, last = [], None, 0, 0, 0, 0, 0, 0, None
-    first = True
+    first, free = True, 0
     while at + 4 <= end:
         h = header(data[at : at + 4])
+        if h and h[3] == 0:
+            size = free if free and last is not None else free_size(data, at, end, h)
+            h = (*h[:6], h[6] + size, *h[7:]) if size else None
+            free = size
         if h and last is None:  # not yet in step: the next header must follow where this frame ends
             nxt = at + h[6]
             n = header(data[nxt : nxt + 4]) if nxt + 4 <= end else None
@@ -185,6 +212,7 @@ def parse(data: bytes) -> dict:
         at += h[6]
     junk += max(0, end - at)
     n = len(offsets)
+    samples = max(0, samples - sum((table_ or {}).get(k, 0) for k in ("delay", "padding")))
     return {
         "tags": tags, "tag_kinds": kinds, "table": table_, "offsets": offsets, "frames": n, "samples": samples, "rate": rate,
         "seconds": samples / rate if rate else 0.0, "mean_kbps": kbps / n if n else 0.0, "bad": bad, "checked": checked, "junk": junk, "resyncs": resyncs,
