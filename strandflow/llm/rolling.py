@@ -3,7 +3,8 @@
 An exchange lets every unit (some texts of one partition) ask which of its hashes occur elsewhere. A unit sends each bucket of
 the hash range one row: the hashes that it asks about with their places, and those that it only tells; sorted and stored as
 differences, a told hash takes about three bytes. The bucket answers the places. A hash goes out once per unit, so a run of
-words that a third of all texts share costs a row's few bytes per unit and not one entry per text.
+words that a third of all texts share costs a row's few bytes per unit and not one entry per text. Two hash functions, of other bases and
+steps, are independent of each other.
 """
 
 from __future__ import annotations
@@ -16,19 +17,20 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE, _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 U = np.uint64
 _M = (1 << 64) - 1
-_powers = np.ones(1, U)
+#: Bases of independent hashes of words, and steps of hashes of runs, by number.
+BASES, STEPS = (_BASE, 0xA24BAED4963EE407), (_STEP, 0x9FB21C651E98DF25)
+_powers = [np.ones(1, U) for _ in BASES]
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the base, modulo 2^64."""
-    global _powers
-    if len(_powers) < n:
+def powers(n: int, which: int = 0) -> np.ndarray:
+    """The first n powers of a base, modulo 2^64."""
+    if len(_powers[which]) < n:
         size = max(64, 1 << (n - 1).bit_length())
         with np.errstate(over="ignore"):
-            p = np.full(size, _BASE, U)
+            p = np.full(size, BASES[which], U)
             p[0] = 1
-            _powers = np.multiply.accumulate(p)
-    return _powers
+            _powers[which] = np.multiply.accumulate(p)
+    return _powers[which]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -37,7 +39,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(a hash of each word of all texts in order, the number of words of each text). Words are runs of other than white space."""
     b = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if not len(texts):
@@ -52,11 +54,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.cumsum(size) - size
     letters = b[~gap]
     off = np.arange(len(letters), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
-    h = np.add.reduceat((letters.astype(U) + U(1)) * powers(int(size.max()))[off], begin)
+    h = np.add.reduceat((letters.astype(U) + U(1)) * powers(int(size.max()), which)[off], begin)
     return mixed(h + size.astype(U)), counts
 
 
-def runs(h: np.ndarray, n: int) -> np.ndarray:
+def runs(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """A hash of each n consecutive values of h; empty if there are fewer."""
     if len(h) < n:
         return np.zeros(0, U)
@@ -68,11 +70,11 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
                 out, done = part, size
             else:
                 k = min(len(out), len(part) - done)
-                out = out[:k] * U(pow(_STEP, size, 1 << 64)) + part[done : done + k]
+                out = out[:k] * U(pow(STEPS[which], size, 1 << 64)) + part[done : done + k]
                 done += size
         rest >>= 1
         if rest:
-            part = part[: len(part) - size] * U(pow(_STEP, size, 1 << 64)) + part[size:]
+            part = part[: len(part) - size] * U(pow(STEPS[which], size, 1 << 64)) + part[size:]
             size *= 2
     return mixed(out[: len(h) - n + 1])
 

@@ -4,7 +4,8 @@ Every window of WINDOW words that occurs twice holds, in each of its texts, a bl
 BLOCK; so the blocks are the index, and the rolling windows of BLOCK words of all texts probe it. The exchange of rolling.py answers
 which blocks have a probe elsewhere (blocks ask, other windows tell). Around such an anchor, and only there, hits are extended: every
 window of WINDOW words that holds an anchor of its text asks in a second exchange, with 64 bits of hash within its bucket's range,
-whether it starts anywhere else. Adjacent repeated windows join to maximal repeats, which are removed.
+whether it starts anywhere else. What seems to is asked once more, by another hash function of 64 bits from the words' letters on, among
+such windows only: two windows pass for equal only if 128 bits of them are. Adjacent repeated windows join to maximal repeats, which are removed.
 
 Nothing is paired: a passage in n texts costs n entries, and a unit sends each hash once. Texts are keyed by their MD5, so only
 the texts with anchors (then those with repeats) are shuffled, to be met by their few places; a bitmap of fixed size thins the
@@ -30,13 +31,15 @@ from strandflow.llm.common import flagged, table, written
 from strandflow.llm.rolling import ROWS, answers, hits_by_text, runs, to_buckets, word_hashes
 
 WINDOW, BLOCK = 35, 18
+#: Bytes of text for each bucket of the hash range; a bucket's hashes, about as many bytes, meet in one task.
+BUCKET_BYTES = 64 << 20
 #: Words of a unit; a longer text is a unit of its own.
 UNIT_WORDS = 1_500_000
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 18
 
 
-def _units(batches, extra: str | None = None):
+def _units(batches, extra: str | None = None, which: int = 0):
     """(digests, word hashes, words of each text, extra column) of some distinct texts of the partition, unit by unit."""
     seen: set[bytes] = set()
     digests, hashes, counts, more, total = [], [], [], [], 0
@@ -55,7 +58,7 @@ def _units(batches, extra: str | None = None):
                 digests.append(key)
                 more.append(x)
             if size >= PIECE or (part and k == len(ids) - 1):
-                h, n = word_hashes(part)
+                h, n = word_hashes(part, which)
                 hashes.append(h)
                 counts.append(n)
                 total += len(h)
@@ -106,19 +109,24 @@ def anchors(buckets: int, bits: int):
     return units
 
 
-def extended(buckets: int):
+def extended(buckets: int, which: int = 0):
+    """The windows that hold an anchor ask; with which = 1 those that the places are of, by the other hash function."""
+
     def units(batches):
         task = TaskContext.get().partitionId()
-        for seq, (digests, h, counts, anchor) in enumerate(_units(batches, "places")):
+        for seq, (digests, h, counts, anchor) in enumerate(_units(batches, "places", which)):
             uid = task << 24 | seq
             first = np.cumsum(counts) - counts
-            w = runs(h, WINDOW)
-            ok = _valid(counts, WINDOW)[: len(w)]
-            near = np.zeros(len(h) + WINDOW + 1, np.int32)
+            w = runs(h, WINDOW, which)
             at = np.concatenate([np.frombuffer(a, np.uint32).astype(np.int64) + f for a, f in zip(anchor, first, strict=True)])
-            np.add.at(near, np.maximum(at - (WINDOW - BLOCK), 0), 1)
-            np.add.at(near, at + 1, -1)
-            place = np.flatnonzero(ok & (np.cumsum(near)[: len(w)] > 0))
+            if which:
+                place = np.sort(at)
+            else:
+                ok = _valid(counts, WINDOW)[: len(w)]
+                near = np.zeros(len(h) + WINDOW + 1, np.int32)
+                np.add.at(near, np.maximum(at - (WINDOW - BLOCK), 0), 1)
+                np.add.at(near, at + 1, -1)
+                place = np.flatnonzero(ok & (np.cumsum(near)[: len(w)] > 0))
             order = np.argsort(w[place], kind="stable")
             s = w[place][order]
             if not len(s):
@@ -149,11 +157,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     """digest (MD5 of the text), places: the words at which repeated windows start, of each text that has any; texts that
     are copied wholly may miss places, since copies() has them."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     d = docs.filter(F.col("text").isNotNull()).select(F.md5("text").alias("digest"), "text")
+
+    def near(found: DataFrame) -> DataFrame:
+        return flagged(d, found, "digest", "near").filter("near").drop("near").join(found, "digest")
+
     found = _asked(d.mapInPandas(anchors(buckets, min(64, 33 + buckets.bit_length())), ROWS))
-    near = flagged(d, found, "digest", "near").filter("near").drop("near").join(found, "digest")
-    return _asked(near.mapInPandas(extended(buckets), ROWS))
+    found = _asked(near(found).mapInPandas(extended(buckets), ROWS))
+    return _asked(near(found).mapInPandas(extended(buckets, 1), ROWS))
 
 
 def copies(docs: DataFrame) -> DataFrame:
