@@ -1,26 +1,32 @@
 """Sharding by size-tiered compaction with versioned manifests.
 
-A shard table is a folder: data/<batch>/part-*.parquet are immutable shards, manifests/v<N> is the manifest of version N, a
-Parquet table with one row per live shard (path, bytes, rows, tier, born). `append` writes the rows as they come, one small
-shard per task and no shuffle, and commits. `compact` takes the live shards of a tier (tier k has sizes of about
-FANOUT^k times the smallest), and where a tier has at least MIN_RUNS runs merges them, read and coalesced without a shuffle, into
-shards of about the target size; as runs of a tier are of similar size, equal numbers of them make equal shards. Replaced
-shards leave the manifest in the same commit and stay on disk for readers of older versions until `vacuum`.
+A shard table is a folder: data/<run>/part-*.parquet are immutable shards, manifests/v<N> is the manifest of version N, a
+Parquet table with one row per live shard (path, run, bytes, rows, tier, born). `append` writes the rows as they come, as one run of small
+shards, one per task and no shuffle, and commits. A run of up to SMALL bytes is of tier 0, and each further tier is of runs FANOUT times
+as large. `compact` merges the runs of each tier that has MIN_RUNS of them, read and coalesced without a shuffle, into one
+run of shards of about the target size, until no tier has so many; as runs of a tier are of similar size, a row is rewritten about once a
+tier. Replaced runs leave the manifest in the same commit and stay on disk for readers of older versions until `vacuum`. A run is live as a
+whole or not at all, so readers open folders: what the driver sees of a table is its runs, some for each tier, never its shards.
 
 A commit writes the new manifest under a name of its own and renames it to v<N>; the rename fails if v<N> is there, so of two
-writers one wins and the other must retry on top of it. Readers see a whole version or none. Tasks that are run again after the
+writers one wins, and the other puts its change on top of the new version (a compaction whose runs are gone is given up). That is atomic where the
+file system renames folders atomically. Readers see a whole version or none. Tasks that are run again after the
 loss of an executor write through the committer of Spark's writer; nothing that is not listed in a manifest is ever read.
 
+`vacuum` deletes what no manifest names that is younger than `keep` seconds or the latest: older manifests, and runs that are older themselves.
+A run that a writer has not committed yet is younger as long as writing takes less than `keep`.
+
 Sizes of shards are listed by the engine's own file source, row counts by its file metadata, so no file is opened by the driver.
 
-Defined cases: an empty table is appended as one shard without rows and is read back with its columns; nulls, empty and very
+Defined cases: an empty table is appended as one run without rows and is read back with its columns; nulls, empty and very
 long texts, repeated rows and any further columns are stored as they are (columns named like the manifest's do not clash,
-because the two never meet in one table); ties in size are ordered by path.
+because the two never meet in one table); ties in size are ordered by path; a version that does not exist is an error.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +36,13 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import shared_dir, table
 
 TARGET = 64 << 20
+#: The size of the largest runs of tier 0.
+SMALL = 4 << 20
 FANOUT = 4
 MIN_RUNS = 2
-MANIFEST = "path string, bytes long, rows long, tier int, born int"
+#: Seconds that versions and runs are kept for.
+KEEP = 7 * 86_400
+MANIFEST = "path string, run string, bytes long, rows long, tier int, born int"
 
 
 class ConflictError(RuntimeError):
@@ -67,11 +77,6 @@ class ShardTable:
         name = F.element_at(F.split("path", "/"), -1)
         return f.withColumn("name", name).join(n.select(name.alias("name"), "rows"), "name", "left").select("path", "bytes", F.coalesce("rows", F.lit(0)).alias("rows"))
 
-    def _tier(self) -> F.Column:
-        """0 up to target / FANOUT^3, one more for each further factor; 3 and above are of target size."""
-        base = self.target / FANOUT**3
-        return F.least(F.greatest(F.ceil(F.log(float(FANOUT), F.greatest(F.col("bytes"), F.lit(1)) / base)), F.lit(0)), F.lit(4)).cast("int")
-
     def _commit(self, live: DataFrame, version: int) -> int:
         """live becomes version, which must not exist yet."""
         temporary = f"{self.path}/manifests/_{uuid.uuid4().hex}"
@@ -88,62 +93,99 @@ class ShardTable:
             raise
         return version
 
+    def _change(self, gone: list[str], new: DataFrame, tries: int = 20) -> int | None:
+        """Commits the latest version without the runs gone and with the shards new, on top of whatever others have committed meanwhile;
+        None if one of gone is no longer live."""
+        for k in range(tries):
+            v = self.version()
+            live = self.manifest(v)
+            if gone and live.filter(F.col("run").isin(gone)).select("run").distinct().count() < len(gone):
+                return None
+            kept = live.filter(~F.col("run").isin(gone)) if gone else live
+            try:
+                return self._commit(kept.unionByName(new.withColumn("born", F.lit(v + 1))), v + 1)
+            except ConflictError:
+                if k == tries - 1:
+                    raise
+        return None
+
+    def _run(self, df: DataFrame, **options) -> DataFrame:
+        """df written as a new run; its shards, as manifest rows without born."""
+        run = uuid.uuid4().hex
+        folder = f"{self.path}/data/{run}"
+        df.write.options(compression=self.codec, **options).parquet(folder)
+        shards = self._listed(folder).persist()
+        size = shards.agg(F.sum("bytes")).first()[0] or 0
+        tier = 0 if size <= SMALL else math.ceil(math.log(size / SMALL, FANOUT))
+        return shards.withColumn("run", F.lit(run)).withColumn("tier", F.lit(tier)).select("path", "run", "bytes", "rows", "tier")
+
     def append(self, df: DataFrame, max_rows: int = 1_000_000) -> int:
-        """Writes df as small shards, one or more per task, and commits them beside the live ones."""
-        v = self.version()
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", self.codec).option("maxRecordsPerFile", max_rows).parquet(folder)
-        new = self._listed(folder).withColumn("tier", self._tier()).withColumn("born", F.lit(v + 1))
-        full = new.filter("rows > 0")
-        return self._commit(self.manifest(v).unionByName(new if full.isEmpty() else full), v + 1)
+        """Writes df as a run of small shards, one or more per task, and commits it beside the live ones."""
+        return self._change([], self._run(df, maxRecordsPerFile=max_rows))
+
+    def runs(self, version: int | None = None) -> list:
+        """run, tier, bytes, rows of the runs of a version: some for each tier."""
+        m = self.manifest(version).groupBy("run").agg(F.max("tier").alias("tier"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("born").alias("born"))
+        return m.orderBy("born", "run").collect()
 
     def compact(self) -> int:
-        """Merges each tier that has enough runs below the target size; commits one new version for all, or returns the present one."""
-        v = self.version()
-        live = self.manifest(v).persist()
-        small = live.filter(F.col("bytes") < self.target / 2)
-        tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).filter(F.col("n") >= MIN_RUNS).orderBy("tier").collect()
-        kept, new = live, None
-        for t in tiers:  # as many as there are tiers: five at most
-            # the paths of one tier's manifest rows go into a scan, as any reader's file listing does
-            paths = [r.path for r in small.filter(F.col("tier") == t.tier).select("path").orderBy("path").collect()]
-            folder = f"{self.path}/data/{uuid.uuid4().hex}"
-            runs = self.spark.read.parquet(*paths)
-            runs.coalesce(max(1, math.ceil(t.bytes / self.target))).write.option("compression", self.codec).parquet(folder)
-            part = self._listed(folder)
-            new = part if new is None else new.unionByName(part)
-            kept = kept.filter(~((F.col("tier") == t.tier) & (F.col("bytes") < self.target / 2)))
-        if new is None:
-            return v
-        new = new.withColumn("tier", self._tier()).withColumn("born", F.lit(v + 1))
-        out = self._commit(kept.unionByName(new), v + 1)
-        live.unpersist()
-        return out
+        """Merges tiers that have enough runs, until none has; returns the latest version."""
+        while True:
+            tiers: dict[int, list] = {}
+            for r in self.runs():
+                tiers.setdefault(r.tier, []).append(r)
+            due = [t for t in sorted(tiers) if len(tiers[t]) >= MIN_RUNS]
+            if not due:
+                return self.version()
+            old = tiers[due[0]]
+            whole = self.spark.read.parquet(*[f"{self.path}/data/{r.run}" for r in old])
+            new = self._run(whole.coalesce(max(1, math.ceil(sum(r.bytes for r in old) / self.target))))
+            self._change([r.run for r in old], new)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
-        paths = [r.path for r in self.manifest(version).select("path").orderBy("path").collect()]
-        return self.spark.read.parquet(*paths)
-
-    def vacuum(self) -> int:
-        """Deletes data folders that no live shard is in, and older manifests; returns how many folders went."""
-        v = self.version()
-        live = {r.folder for r in self.manifest(v).select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct().collect()}
+        runs = self.runs(version)
+        if not runs:
+            raise ValueError("there is no such version")
+        return self.spark.read.parquet(*[f"{self.path}/data/{r.run}" for r in runs])
+
+    def vacuum(self, keep: float = KEEP) -> int:
+        """Deletes the manifests older than keep seconds, but for the latest, and the runs older than that which no other names; returns how
+        many runs went."""
+        before = (time.time() - keep) * 1000
         fs, at = self._files(f"{self.path}/data")
-        gone = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName() not in live]
+        # runs first: one that is written from here on is not looked at
+        there = [(s.getPath(), s.getModificationTime()) for s in fs.listStatus(at)]
+        fs_m, at_m = self._files(f"{self.path}/manifests")
+        found = [(s.getPath(), s.getModificationTime()) for s in fs_m.listStatus(at_m)]
+        latest = max((int(p.getName()[1:]) for p, _ in found if p.getName()[:1] == "v"), default=0)
+        stale = [p for p, t in found if t < before and not (p.getName()[:1] == "v" and int(p.getName()[1:]) >= latest)]
+        kept = {p.getName() for p, _ in found} - {p.getName() for p in stale}
+        live = {r.run for v in kept if v[:1] == "v" for r in self.runs(int(v[1:]))}
+        for p in stale:
+            fs_m.delete(p, True)
+        gone = [p for p, t in there if t < before and p.getName() not in live]
         for p in gone:
             fs.delete(p, True)
-        fs, at = self._files(f"{self.path}/manifests")
-        for s in fs.listStatus(at):
-            if s.getPath().getName() != f"v{v}":
-                fs.delete(s.getPath(), True)
         return len(gone)
 
 
+#: The shares of a table that arrive one after another, in sixteenths, where a whole table is sharded at once.
+ARRIVALS = (8, 4, 2, 1, 1)
+
+
 def sharded(docs: DataFrame, path: str | None = None, target: int = TARGET) -> tuple[ShardTable, int]:
-    """docs appended to the shard table at path (a new one in the shared folder if None) and compacted."""
+    """docs in the shard table at path (a new one in the shared folder if None).
+
+    They come in several arrivals of different sizes, dealt by a hash of the row, each row in one of them; the table is compacted after
+    every second one and at the end."""
     t = ShardTable(docs.sparkSession, path or shared_dir(docs.sparkSession), target)
-    t.append(docs)
+    part, lo = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, k in docs.dtypes if not k.startswith("map")]), F.lit(sum(ARRIVALS))), 0
+    for k, n in enumerate(ARRIVALS):
+        t.append(docs.filter((part >= lo) & (part < lo + n)))
+        lo += n
+        if k % 2:
+            t.compact()
     return t, t.compact()
 
 
