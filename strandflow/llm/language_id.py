@@ -12,7 +12,7 @@ the rejection threshold on the margin, the log-odds of the best language against
 languages are to be taken. To be rejected are held-back negatives, and the held-back texts of languages that the model does not
 know: models are trained with a part of the languages left out, in up to FOLDS turns, and judge these. The threshold is where both
 are parted best (each kind of negative counts alike), in the middle between the two where a gap lies, and never above the
-REJECT quantile of what is to be taken.
+REJECT quantile of the whole texts that are to be taken (segments may be keys or numbers).
 
 Prediction is local to a row and reads nothing but the text; embedding and softmax are folded into one score per bucket and
 class. Texts are read in pieces of PIECE letters with the n-grams across the seams kept, so memory is bounded by the text.
@@ -44,6 +44,8 @@ PER_LANG, MOST_LANGS = 300, 500
 REJECT, FOLDS = 0.002, 4
 #: Segments of a sampled document that are learned from besides the whole, and their letters.
 SEGMENTS, SEGMENT = 3, 60
+#: Letters of the longest negatives.
+PART_OF_ALL = 600
 SALT = 20
 #: Kinds of rows of the sample; those from SHUFFLED on are negatives.
 WHOLE, PART, SHUFFLED, EVEN = range(4)
@@ -107,11 +109,12 @@ class LanguageModel:
 class Rows:
     """Averaged counts of some rows (buckets, counts), sparse; only some of them at a time are ever dense."""
 
-    def __init__(self, at: list[np.ndarray], n: list[np.ndarray]):
-        self.size = np.array([len(a) for a in at], np.int64)
+    def __init__(self, at: list[bytes], n: list[bytes]):
+        self.size = np.array([len(a) // 4 for a in at], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.at = np.concatenate(at).astype(np.int64)
-        self.value = np.concatenate([np.asarray(x, np.float32) / np.float32(np.sum(x)) for x in n])
+        self.at = np.frombuffer(b"".join(at), np.int32)
+        self.value = np.frombuffer(b"".join(n), np.int32).astype(np.float32)
+        self.value /= np.repeat(np.add.reduceat(self.value, self.first), self.size)
 
     def dense(self, which: np.ndarray) -> np.ndarray:
         n = self.size[which]
@@ -145,7 +148,8 @@ def fit(rows: Rows, which: np.ndarray, y: np.ndarray, n: int, epochs: int = 10,
     return e @ w, b
 
 
-FOUND = "lang string, held boolean, kind int, at array<int>, n array<int>"
+#: at and n: buckets and counts, 32 bits each, as bytes, so that the driver holds no objects for them.
+FOUND = "lang string, held boolean, kind int, at binary, n binary"
 
 
 def shuffled(c: np.ndarray, r: np.random.Generator) -> np.ndarray:
@@ -173,11 +177,11 @@ def _features(batches):
             parts = [c[s : s + SEGMENT] for s in np.linspace(0, max(0, len(c) - SEGMENT), SEGMENTS, dtype=int)] if len(c) > 2 * SEGMENT else []
             parts = [p for p in parts if p.any()]
             part = parts[0] if parts else c
-            kinds = [(WHOLE, c), *[(PART, p) for p in parts], (SHUFFLED, shuffled(c, r)), (SHUFFLED, shuffled(part, r)), (EVEN, even(part, r))]
+            kinds = [(WHOLE, c), *[(PART, p) for p in parts], (SHUFFLED, shuffled(c[:PART_OF_ALL], r)), (SHUFFLED, shuffled(part, r)), (EVEN, even(part, r))]
             for kind, x in kinds:
                 counts = subwords(x)
                 at = np.flatnonzero(counts)
-                rows.append((lang, held, kind, at.astype(np.int32), counts[at].astype(np.int32)))
+                rows.append((lang, held, kind, at.astype(np.int32).tobytes(), counts[at].astype(np.int32).tobytes()))
         yield pd.DataFrame(rows, columns=["lang", "held", "kind", "at", "n"])
 
 
@@ -205,9 +209,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
 
 def fitted(rows: pd.DataFrame) -> LanguageModel:
     """The model of a sample (FOUND), calibrated on its held-back rows; the same whatever the order of the rows."""
-    rows = rows.iloc[np.lexsort((rows["at"].map(lambda a: crc32(np.asarray(a, np.int32).tobytes())), rows["kind"], rows["lang"]))]
+    rows = rows.iloc[np.lexsort((rows["at"].map(lambda a: crc32(bytes(a))), rows["kind"], rows["lang"]))]
     langs = sorted(set(rows["lang"]))
-    x = Rows(rows["at"].tolist(), rows["n"].tolist())
+    x = Rows(rows.pop("at").tolist(), rows.pop("n").tolist())
     lang = rows["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
     kind, held = rows["kind"].to_numpy(), rows["held"].to_numpy(bool)
     made = kind >= SHUFFLED
@@ -237,12 +241,13 @@ def fitted(rows: pd.DataFrame) -> LanguageModel:
     for f in range(min(FOLDS, len(langs)) if len(langs) > 1 else 0):
         left = np.arange(len(langs)) % FOLDS == f
         strange.append(margin(logits(trained(~left), check & ~made & left[lang])))
-    m.threshold = parted(margin(z[k < SHUFFLED]), [*refuse, *([np.concatenate(strange)] if strange else [])])
+    m.threshold = parted(margin(z[k < SHUFFLED]), [*refuse, *([np.concatenate(strange)] if strange else [])], margin(z[k == WHOLE]))
     return m
 
 
-def parted(take: np.ndarray, refuse: list[np.ndarray]) -> float:
-    """The value that parts what is to be taken (at or above it) from what is to be refused, each kind of which counts alike."""
+def parted(take: np.ndarray, refuse: list[np.ndarray], whole: np.ndarray | None = None) -> float:
+    """The value that parts what is to be taken (at or above it) from what is to be refused, each kind of which counts alike; not above
+    the REJECT quantile of the whole texts among the former."""
     low, weight = np.concatenate(refuse), np.concatenate([np.full(len(r), 1 / (len(refuse) * len(r))) for r in refuse if len(r)])
     at = np.unique(np.r_[take, low])
     lost = np.searchsorted(np.sort(take), at) / len(take)
@@ -251,7 +256,7 @@ def parted(take: np.ndarray, refuse: list[np.ndarray]) -> float:
     best = int(np.argmax(caught - lost))
     # the cut may lie anywhere between the value below and this one
     middle = float((at[best - 1] + at[best]) / 2) if best else float(at[0])
-    return min(middle, float(np.quantile(take, REJECT)))
+    return min(middle, float(np.quantile(take if whole is None or not len(whole) else whole, REJECT)))
 
 
 def _loss(z: np.ndarray, y: np.ndarray) -> float:
