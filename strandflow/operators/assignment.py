@@ -1,64 +1,13 @@
-"""Reads to transcripts: distances, best hits, unique hits; minimal classes; names and bounds."""
+"""Minimal classes of genes; an empty side of the join gives the other side's rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.functions import ranges as R
-
-
-def distance(q: Column, s: Column) -> Column:
-    """Positions of the query outside the subject, and of the subject in the query's gaps; 0 means compatible."""
-    return R.setdiff_width(q, s) + R.common(s, R.introns(q))
-
-
-def outside(q: Column, s: Column) -> Column:
-    """How many ranges of the query meet no range of the subject."""
-    return F.size(F.filter(q, lambda a: ~F.exists(s, lambda b: (a["s"] <= b["e"]) & (b["s"] <= a["e"])))).cast("long")
-
-
-def best_hits(hits: DataFrame, query: str = "read_id", slack: int = 5) -> DataFrame:
-    """hits (query, dist, n_outside, near, ...) that stay: within slack of the least distance, then with the fewest ranges
-    outside, then the near ones if there are any; with compatible and unique_hit (the only compatible one of its query).
-
-    The three filters see what the one before has left; all windows share one partitioning, so there is one shuffle."""
-    w = W.partitionBy(query)
-    d = hits.withColumn("m", F.min("dist").over(w)).filter(F.col("dist") <= F.col("m") + slack)
-    d = d.withColumn("m", F.min("n_outside").over(w)).filter("n_outside = m")
-    d = d.withColumn("any", F.max("near").over(w)).filter("near or not any").drop("m", "any")
-    fits = F.col("dist") == 0
-    alone = F.sum(fits.cast("int")).over(w) == 1
-    return d.withColumn("compatible", fits).withColumn("unique_hit", fits & alone)
-
 
 def with_minimal(observed: DataFrame, members: DataFrame) -> DataFrame:
     """observed (gene, key, nobs) and, with nobs 0, the class of each single transcript (gene, tx), plain and negated."""
     keys = F.array(F.col("tx").cast("string"), (-F.col("tx")).cast("string"))
     least = members.select("gene", F.explode(keys).alias("key")).distinct()
     return observed.join(least, ["gene", "key"], "full").fillna(0, ["nobs"])
-
-
-def separated_names(tx: DataFrame, name: str = "gene") -> DataFrame:
-    """tx with unique_name: a name on several chromosomes gets the chromosome's number among them as a suffix."""
-    places = tx.select(name, "chr").distinct()
-    n = F.count(F.lit(1)).over(W.partitionBy(name))
-    k = F.row_number().over(W.partitionBy(name).orderBy("chr"))
-    places = places.withColumn("n", n).withColumn("k", k)
-    d = tx.join(places, [name, "chr"])
-    return d.withColumn("unique_name", F.when(F.col("n") > 1, F.concat(name, F.lit("-"), F.col("k").cast("string"))).otherwise(F.col(name))).drop("n", "k")
-
-
-def in_bounds(reads: DataFrame, lengths: DataFrame) -> DataFrame:
-    """The reads on chromosomes of the genome (chr, length) that end before the chromosome does."""
-    return reads.join(lengths, "chr").filter(F.col("e") < F.col("length")).select(reads.columns)
-
-
-def terminal_letters(reads: DataFrame, sequence, size: int = 10) -> DataFrame:
-    """read_id with the numbers of A and T in the first and last `size` bases along the strand; sequence(s, e) gives bases."""
-    head, tail = sequence(F.col("s"), F.col("s") + size - 1), sequence(F.col("e") - size + 1, F.col("e"))
-    minus = F.col("strand") == "-"
-    d = reads.select("read_id", F.when(minus, R.reverse_complement(tail)).otherwise(head).alias("a"), F.when(minus, R.reverse_complement(head)).otherwise(tail).alias("b"))
-    count = lambda c, x: R.letter_count(F.col(c), x).cast("long")
-    return d.select("read_id", count("a", "A").alias("n_a_start"), count("a", "T").alias("n_t_start"), count("b", "A").alias("n_a_end"), count("b", "T").alias("n_t_end"))

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandflow.functions import ranges as R
-from strandflow.operators import assignment
-from strandflow.plans.fixtures import LISTS, reads, transcripts
+from strandflow.operators import annotations, assignment, scoring
+from strandflow.plans.fixtures import LISTS, genome, reads, transcripts
 from strandflow.plans.quantities import CLASSES, EQ, eq_rows, eqclass_counts, sample_classes
-from strandflow.plans.structures import _COMMON, _GAPS, _WIDTH
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,24 +22,6 @@ def query(sql: str):
     return add
 
 
-_HITS = f""", p AS (SELECT r.read_id, t.tx, abs(r.s - t.s) <= 5 AND abs(r.e - t.e) <= 5 AS near, r.x AS q0, t.x AS y FROM reads r JOIN txs t USING (chr, strand, locus)),
-cut AS (SELECT read_id, tx, near, y, list_transform(range(1, len(q0) + 1), lambda i: CASE WHEN i = 1 THEN {{'s': q0[i].e - 1, 'e': q0[i].e}} WHEN i = len(q0) THEN {{'s': q0[i].s, 'e': q0[i].s + 1}} ELSE q0[i] END) AS q FROM p),
-d AS (SELECT read_id, tx, near, ({_WIDTH.format('q')} - {_COMMON.format('q', 'y')} + {_COMMON.format('y', _GAPS.format('q'))})::BIGINT AS dist, len(list_filter(q, lambda a: len(list_filter(y, lambda b: a.s <= b.e AND b.s <= a.e)) = 0)) AS n_outside FROM cut),
-b1 AS (SELECT * FROM d QUALIFY dist <= min(dist) OVER (PARTITION BY read_id) + 5),
-b2 AS (SELECT * FROM b1 QUALIFY n_outside = min(n_outside) OVER (PARTITION BY read_id)),
-b3 AS (SELECT * FROM b2 QUALIFY near OR NOT bool_or(near) OVER (PARTITION BY read_id))
-SELECT read_id, tx, dist, n_outside, near, dist = 0 AS compatible, dist = 0 AND count(*) FILTER (dist = 0) OVER (PARTITION BY read_id) = 1 AS unique_hit FROM b3"""
-
-
-@query(_HITS)
-def best_hit(spark, sf_dir):
-    t = transcripts(spark, sf_dir).select("chr", "strand", "locus", "tx", F.col("x").alias("y"), F.col("s").alias("ts"), F.col("e").alias("te"))
-    d = reads(spark, sf_dir).withColumn("q", R.cut_terminals(F.col("x"))).join(t, ["chr", "strand", "locus"])
-    near = (F.abs(F.col("s") - F.col("ts")) <= 5) & (F.abs(F.col("e") - F.col("te")) <= 5)
-    q, y = F.col("q"), F.col("y")
-    return assignment.best_hits(d.select("read_id", "tx", assignment.distance(q, y).alias("dist"), assignment.outside(q, y).alias("n_outside"), near.alias("near")))
-
-
 @query("""SELECT gene, key, coalesce(nobs, 0)::BIGINT AS nobs FROM
 (SELECT gene, key, sum(nobs) AS nobs FROM (SELECT gene, cls, string_agg((tx * CASE WHEN equal THEN -1 ELSE 1 END)::VARCHAR, ',' ORDER BY tx * CASE WHEN equal THEN -1 ELSE 1 END) AS key, any_value(nobs) AS nobs FROM ec GROUP BY ALL) GROUP BY ALL)
 FULL JOIN (SELECT gene, tx::VARCHAR AS key FROM ec UNION SELECT gene, (-tx)::VARCHAR AS key FROM ec) USING (gene, key)""")
@@ -73,13 +53,13 @@ def remove_duplicates(spark, sf_dir):
 SELECT tx, CASE WHEN n > 1 THEN gene || '-' || k ELSE gene END AS unique_name FROM g JOIN c USING (gene, chr)""")
 def names_by_chromosome(spark, sf_dir):
     t = transcripts(spark, sf_dir).select("tx", "chr", F.concat(F.lit("g"), F.col("locus").cast("string")).alias("gene"))
-    return assignment.separated_names(t).select("tx", "unique_name")
+    return annotations.separated_names(t).select("tx", "unique_name")
 
 
 @query("SELECT read_id, chr, e FROM reads WHERE chr <> 'chr5' AND e < 25000")
 def in_bounds(spark, sf_dir):
     lengths = spark.createDataFrame([(f"chr{i}", 25000) for i in range(1, 5)], "chr string, length long")
-    return assignment.in_bounds(reads(spark, sf_dir), lengths).select("read_id", "chr", "e")
+    return annotations.in_bounds(reads(spark, sf_dir), lengths).select("read_id", "chr", "e")
 
 
 _LETTER = "len(list_filter(range({0}, {0} + 10), lambda p: (p * 7 + 3) % 4 = {1}))"
@@ -88,7 +68,4 @@ _LETTER = "len(list_filter(range({0}, {0} + 10), lambda p: (p * 7 + 3) % 4 = {1}
 @query(f"""SELECT read_id, CASE WHEN strand = '-' THEN {_LETTER.format('e - 9', 3)} ELSE {_LETTER.format('s', 0)} END AS n_a_start, CASE WHEN strand = '-' THEN {_LETTER.format('e - 9', 0)} ELSE {_LETTER.format('s', 3)} END AS n_t_start,
 CASE WHEN strand = '-' THEN {_LETTER.format('s', 3)} ELSE {_LETTER.format('e - 9', 0)} END AS n_a_end, CASE WHEN strand = '-' THEN {_LETTER.format('s', 0)} ELSE {_LETTER.format('e - 9', 3)} END AS n_t_end FROM reads""")
 def terminal_letters(spark, sf_dir):
-    def bases(s, e):
-        return F.array_join(F.transform(F.sequence(s, e), lambda p: F.substring(F.lit("ACGT"), ((p * 7 + 3) % 4 + 1).cast("int"), F.lit(1))), "")
-
-    return assignment.terminal_letters(reads(spark, sf_dir), bases)
+    return scoring.terminal_letters(reads(spark, sf_dir), genome(spark), "read_id")

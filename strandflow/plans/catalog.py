@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandflow.plans import assignments, quantities, structures
+from strandflow.plans import assignments, distances, quantities, structures
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (structures, quantities, assignments):
+for _m in (structures, quantities, assignments, distances):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

@@ -46,3 +46,15 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(annotation_exons(spark, sf_dir), ["tx", "gene", "txid", "chr", "strand", "locus"])
+
+
+def genome(spark: SparkSession) -> DataFrame:
+    """chr, chunk, seq: the bases substr('ACGT', (p * 7 + 3) % 4 + 1, 1) of positions p of five chromosomes, in chunks as of a file."""
+    from strandflow.sources.genome import CHUNK
+
+    d = spark.range(5).select(F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("chr"))
+    return d.select("chr", F.lit(0).cast("long").alias("chunk"), F.repeat(F.lit("GCAT"), F.lit(CHUNK // 4)).alias("seq"))
+
+
+def lengths(spark: SparkSession, length: int = 40_000) -> DataFrame:
+    return spark.range(5).select(F.concat(F.lit("chr"), (F.col("id") + 1).cast("string")).alias("chr"), F.lit(length).cast("long").alias("length"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandflow.functions import ranges as R
-from strandflow.operators import quantify, scoring
+from strandflow.operators import plots, quantify, samples, scoring
 from strandflow.plans.fixtures import LISTS, reads, transcripts
 
 QUERIES: dict = {}
@@ -63,7 +63,15 @@ def ndr(spark, sf_dir):
     return scoring.ndr(scores(spark, sf_dir))
 
 
-@query(f"{_SCORES}, t AS (SELECT score, count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS q FROM sc GROUP BY 1), c AS (SELECT sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM t WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), l AS (SELECT fp, max(tp) AS tp FROM c GROUP BY 1) SELECT max(tp)::BIGINT AS n_pos, max(fp)::BIGINT AS n_neg, round(avg(tp) / max(tp), 6) AS auc FROM l", True)
+_CURVE = f"{_SCORES}, t AS (SELECT score, count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS q FROM sc GROUP BY 1), c AS (SELECT score, (sum(p) OVER w)::BIGINT AS tp, (sum(q) OVER w)::BIGINT AS fp FROM t WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"
+
+
+@query(f"{_CURVE} SELECT score, tp, fp FROM c", True)
+def score_curve(spark, sf_dir):
+    return scoring.curve(scores(spark, sf_dir))
+
+
+@query(f"{_CURVE}, l AS (SELECT fp, max(tp) AS tp FROM c GROUP BY 1), m AS (SELECT tp, max(fp) AS fp FROM c GROUP BY 1) SELECT max(tp)::BIGINT AS n_pos, max(fp)::BIGINT AS n_neg, round(avg(tp) / max(tp), 6) AS auc, (SELECT round(avg(tp / (tp + fp)), 6) FROM m) AS pr_auc FROM l", True)
 def roc_auc(spark, sf_dir):
     return scoring.roc(scores(spark, sf_dir))
 
@@ -75,41 +83,83 @@ def trainable(spark, sf_dir):
 
 @query("SELECT sample, gene, chain, strand, read_count, sum(read_count) OVER (PARTITION BY sample, gene)::BIGINT AS gene_read_count, round(read_count / sum(read_count) OVER (PARTITION BY sample, gene), 6) AS gene_read_prop FROM rc")
 def gene_proportion(spark, sf_dir):
-    t = F.sum("read_count").over(W.partitionBy("sample", "gene"))
-    return sample_classes(spark, sf_dir).select("sample", "gene", "chain", "strand", "read_count", t.alias("gene_read_count"), F.round(F.col("read_count") / t, 6).alias("gene_read_prop"))
+    d = sample_classes(spark, sf_dir)
+    t = d.groupBy("sample", "gene").agg(F.sum("read_count").alias("gene_read_count"))
+    return d.join(t, ["sample", "gene"]).select("sample", "gene", "chain", "strand", "read_count", "gene_read_count", F.round(F.col("read_count") / F.col("gene_read_count"), 6).alias("gene_read_prop"))
+
+
+#: The classes of all samples with what features need; deviations and letters by formula.
+_FC = "fc AS (SELECT sample, chr, strand, gene, chain, read_count, read_count // 2 AS plus_count, read_count / sum(read_count) OVER (PARTITION BY gene) AS gene_read_prop FROM rc)"
 
 
-@query("SELECT sample, gene, chain, strand, round(log2(greatest(1, 1 + read_count / (sum(read_count) OVER (PARTITION BY sample) / 1e6))), 6) AS num_reads FROM rc")
+def _featured(spark, sf_dir):
+    d = sample_classes(spark, sf_dir).withColumn("plus_count", F.expr("read_count div 2"))
+    return scoring.gene_shares(d)
+
+
+@query(f", {_FC} SELECT sample, chr, strand, chain, round(gene_read_prop, 6) AS gene_read_prop, round(log2(greatest(1, 1 + read_count / (sum(read_count) OVER () / 1e6))), 6) AS num_reads, round(1 - abs(0.5 - plus_count / read_count), 6) AS strand_bias FROM fc")
 def features(spark, sf_dir):
-    t = F.sum("read_count").over(W.partitionBy("sample"))
-    return sample_classes(spark, sf_dir).select("sample", "gene", "chain", "strand", F.round(F.log2(F.greatest(F.lit(1.0), 1 + F.col("read_count") / (t / 1e6))), 6).alias("num_reads"))
+    d = scoring.features(_featured(spark, sf_dir))
+    return d.select("sample", "chr", "strand", "chain", *[F.round(c, 6).alias(c) for c in ("gene_read_prop", "num_reads", "strand_bias")])
+
+
+#: Scores by formula; classes of every seventh have none.
+_SC = "sc0 AS (SELECT *, read_count / sum(read_count) OVER (PARTITION BY sample, gene) AS gene_read_prop, CASE WHEN s % 7 = 0 THEN NULL ELSE (s % 10) / 10.0::DOUBLE END AS score, (e % 10) / 10.0::DOUBLE AS score_default FROM rc)"
+_FLAGS = f"{_SC}, fl AS (SELECT *, read_count >= 2 AS ok_count, gene_read_prop >= 0.05 AS ok_prop, coalesce(score > 0, false) AS ok_score FROM sc0)"
+
 
+def scored_classes(spark, sf_dir):
+    d = sample_classes(spark, sf_dir)
+    t = d.groupBy("sample", "gene").agg(F.sum("read_count").alias("t"))
+    d = d.join(t, ["sample", "gene"]).withColumn("gene_read_prop", F.col("read_count") / F.col("t")).drop("t")
+    return d.withColumns({
+        "score": F.when(F.col("s") % 7 != 0, (F.col("s") % 10) / 10.0), "score_default": (F.col("e") % 10) / 10.0,
+        "confidence": F.lit("highConfidenceJunctionReads"), "n_exons": F.lit(2), "equal": F.lit(False),
+    })
 
-_COMBINED = "cb AS (SELECT chr, strand, gene, chain, count(*) FILTER (read_count >= 2) AS n_sample_count, count(*) FILTER (prop >= 0.05) AS n_sample_prop, max(prop) AS max_prop, sum(read_count)::BIGINT AS read_count FROM (SELECT *, read_count / sum(read_count) OVER (PARTITION BY sample, gene) AS prop FROM rc) GROUP BY ALL)"
+
+@query(f", {_FLAGS} SELECT sample, chr, strand, chain, ok_count, ok_prop, ok_score FROM fl")
+def sample_flags(spark, sf_dir):
+    return samples.flagged(scored_classes(spark, sf_dir)).select("sample", "chr", "strand", "chain", "ok_count", "ok_prop", "ok_score")
+
+
+_COMBINED = f"{_FLAGS}, cb AS (SELECT chr, strand, chain, count(*) FILTER (ok_count) AS n_count, count(*) FILTER (ok_prop) AS n_prop, count(*) FILTER (ok_score) AS n_score, max(score) AS max_score, max(score_default) AS max_score_default, sum(read_count)::BIGINT AS read_count FROM fl GROUP BY ALL)"
+_MEDIANS = """md AS (SELECT * FROM (SELECT chr, strand, chain, min(s) AS "start" FROM (SELECT *, sum(read_count) OVER (PARTITION BY chr, strand, chain ORDER BY s, sample ROWS UNBOUNDED PRECEDING) AS run, sum(read_count) OVER (PARTITION BY chr, strand, chain) AS total FROM rc) WHERE run * 2 >= total GROUP BY ALL)
+JOIN (SELECT chr, strand, chain, min(e) AS "end" FROM (SELECT *, sum(read_count) OVER (PARTITION BY chr, strand, chain ORDER BY e, sample ROWS UNBOUNDED PRECEDING) AS run, sum(read_count) OVER (PARTITION BY chr, strand, chain) AS total FROM rc) WHERE run * 2 >= total GROUP BY ALL) USING (chr, strand, chain))"""
 
 
 def _combined(spark, sf_dir):
-    prop = F.col("read_count") / F.sum("read_count").over(W.partitionBy("sample", "gene"))
-    d = sample_classes(spark, sf_dir).withColumn("prop", prop)
-    return d.groupBy("chr", "strand", "gene", "chain").agg(F.count_if(F.col("read_count") >= 2).alias("n_sample_count"), F.count_if(F.col("prop") >= 0.05).alias("n_sample_prop"), F.max("prop").alias("max_prop"), F.sum("read_count").alias("read_count"))
+    return samples.combined(samples.flagged(scored_classes(spark, sf_dir))).drop("confidence")
 
 
-@query(f", {_COMBINED} SELECT chr, strand, gene, chain, n_sample_count, n_sample_prop, round(max_prop, 6) AS max_prop, read_count FROM cb")
+@query(f", {_COMBINED}, {_MEDIANS} SELECT * FROM cb JOIN md USING (chr, strand, chain)")
 def sample_combine(spark, sf_dir):
-    return _combined(spark, sf_dir).withColumn("max_prop", F.round("max_prop", 6))
+    return _combined(spark, sf_dir)
 
 
-@query(f", {_COMBINED} SELECT chr, strand, chain, read_count FROM cb WHERE n_sample_count >= 1 AND n_sample_prop >= 1")
+@query(f", {_COMBINED} SELECT chr, strand, chain, read_count FROM cb WHERE n_count >= 1 AND n_prop >= 1 AND n_score >= 1")
 def candidate_filter(spark, sf_dir):
-    return _combined(spark, sf_dir).filter("n_sample_count >= 1 and n_sample_prop >= 1").select("chr", "strand", "chain", "read_count")
+    return samples.passing(_combined(spark, sf_dir)).select("chr", "strand", "chain", "read_count")
 
 
-@query("SELECT chr, strand, chain, min(s) AS start_median, (SELECT 1) AS one FROM (SELECT *, sum(read_count) OVER (PARTITION BY chr, strand, chain ORDER BY s, sample ROWS UNBOUNDED PRECEDING) AS run, sum(read_count) OVER (PARTITION BY chr, strand, chain) AS total FROM rc) WHERE run * 2 >= total GROUP BY ALL")
+@query(f", {_MEDIANS} SELECT * FROM md")
 def weighted_median(spark, sf_dir):
-    keys = W.partitionBy("chr", "strand", "chain")
-    run = F.sum("read_count").over(keys.orderBy("s", "sample").rowsBetween(W.unboundedPreceding, W.currentRow))
-    d = sample_classes(spark, sf_dir).withColumn("run", run).withColumn("total", F.sum("read_count").over(keys))
-    return d.filter("run * 2 >= total").groupBy("chr", "strand", "chain").agg(F.min("s").alias("start_median"), F.first(F.lit(1)).alias("one"))
+    return samples.medians(sample_classes(spark, sf_dir))
+
+
+#: Reads of one exon by sample as new unspliced classes.
+_UN = "un AS (SELECT concat('s', CAST(read_id % 4 AS VARCHAR)) AS sample, chr, strand, s, e, count(*) + 1 AS read_count, count(*) / 100.0::DOUBLE AS gene_read_prop, (s % 10) / 5.0::DOUBLE AS score, (e % 10) / 5.0::DOUBLE AS score_default FROM reads WHERE n = 1 GROUP BY ALL)"
+
+
+@query(f""", {_UN}, f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM un),
+g AS (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY s, e, new DESC ROWS UNBOUNDED PRECEDING) AS island FROM f), i AS (SELECT *, min(s) OVER (PARTITION BY chr, island) AS rs, max(e) OVER (PARTITION BY chr, island) AS re FROM g),
+b AS (SELECT chr, rs, re, sample, sum(score * read_count) / sum(read_count) AS score, sum(score_default * read_count) / sum(read_count) AS score_default, sum(gene_read_prop) AS prop, sum(read_count) AS read_count FROM i GROUP BY ALL)
+SELECT chr, '*' AS strand, rs AS "start", re AS "end", sum(read_count)::BIGINT AS read_count, count(*) FILTER (read_count >= 2) AS n_count, count(*) FILTER (prop >= 0.05) AS n_prop, count(*) FILTER (score > 1) AS n_score, round(max(score), 6) AS max_score, round(max(score_default), 6) AS max_score_default FROM b GROUP BY ALL""")
+def unspliced_combine(spark, sf_dir):
+    d = reads(spark, sf_dir).filter("n = 1").groupBy(F.concat(F.lit("s"), F.pmod("read_id", F.lit(4)).cast("string")).alias("sample"), "chr", "strand", "s", "e").agg(F.count(F.lit(1)).alias("c"))
+    d = d.withColumns({"read_count": F.col("c") + 1, "gene_read_prop": F.col("c") / 100.0, "score": (F.col("s") % 10) / 5.0, "score_default": (F.col("e") % 10) / 5.0, "confidence": F.lit("unsplicedNew"), "equal": F.lit(False)})
+    d = samples.unspliced_combined(d).drop("chain", "confidence")
+    return d.withColumns({c: F.round(c, 6) for c in ("max_score", "max_score_default")})
 
 
 _NOVEL = """, known AS (SELECT DISTINCT chr, strand, s || '-' || e AS j FROM aintrons),
@@ -150,22 +200,56 @@ def normalise_k(spark, sf_dir):
     return d.select("gene", "cls", "nobs", k.alias("k"), F.round(F.col("nobs") / k, 6).alias("share"))
 
 
-@query("SELECT round(median(rate), 6) AS d_rate, count(*) AS n_genes FROM (SELECT gene, sum(n) FILTER (NOT equal) / sum(n) * 1000 / max(rc_width) AS rate FROM ec GROUP BY 1 HAVING sum(n) >= 30 AND sum(n) FILTER (equal) >= 5 AND sum(n) FILTER (NOT equal) IS NOT NULL)")
+#: Transcript lengths by formula.
+_LEN = "(500 + tx * 250)"
+_RATE = f"""gr AS (SELECT gene, sum(nobs) AS nobs, sum(nobs) FILTER (partial) AS part, max(len) AS len FROM (SELECT gene, cls, max(nobs) AS nobs, bool_or(NOT equal) AS partial, max({_LEN}) AS len FROM ec GROUP BY ALL) GROUP BY 1),
+gd AS (SELECT *, nobs >= 30 AND coalesce(nobs - part >= 5, false) AS good FROM gr), gk AS (SELECT part / nobs * 1000 / len AS rate FROM gd WHERE good OR NOT (SELECT bool_or(good) FROM gd)),
+dr AS (SELECT median(rate) AS rate, count(*) AS n_genes FROM gk)"""
+
+
+def eq_classes_of(spark, sf_dir):
+    return eq_rows(spark, sf_dir).withColumns({"txid": F.col("tx"), "tx_len": 500 + F.col("tx") * 250})
+
+
+@query(f", {_RATE} SELECT round(rate, 6) AS rate, n_genes FROM dr")
 def degradation_rate(spark, sf_dir):
-    g = eq_rows(spark, sf_dir).groupBy("gene").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("equal"), F.col("n"))).alias("part"), F.sum(F.when(F.col("equal"), F.col("n"))).alias("whole"), F.max("rc_width").alias("w"))
-    g = g.filter("n >= 30 and whole >= 5 and part is not null").withColumn("rate", F.col("part") / F.col("n") * 1000 / F.col("w"))
-    return g.agg(F.round(F.median("rate"), 6).alias("d_rate"), F.count(F.lit(1)).alias("n_genes"))
+    return quantify.degradation(eq_classes_of(spark, sf_dir)).withColumn("rate", F.round("rate", 6))
+
+
+def _a_values(rate: str, none: str = "") -> str:
+    w = f"(rc_width * {rate} / 1000)"
+    a = f"CASE {none} WHEN equal THEN 1 - coalesce(sum(CASE WHEN multi AND NOT equal THEN {w} END) OVER (PARTITION BY gene, tx), 0) ELSE {w} END"
+    return f"CASE WHEN NOT multi THEN 1.0::DOUBLE WHEN equal THEN least(1, greatest(least(greatest({a}, 0), 1), {w})) ELSE least(greatest({a}, 0), 1) END"
 
 
-@query("SELECT gene, cls, tx, round(least(greatest(CASE WHEN NOT multi THEN 1.0 WHEN equal THEN 1 - coalesce(sum(CASE WHEN multi AND NOT equal THEN rc_width * 0.5 / 1000 END) OVER (PARTITION BY gene, tx), 0) ELSE rc_width * 0.5 / 1000 END, 0), 1), 6) AS aval FROM ec")
+@query(f"SELECT gene, cls, tx, round({_a_values('0.5')}, 6) AS aval FROM ec")
 def a_values(spark, sf_dir):
     return quantify.valued(eq_rows(spark, sf_dir), 0.5).select("gene", "cls", "tx", F.round("aval", 6).alias("aval"))
 
 
-@query(None)
+@query(f"SELECT gene, cls, tx, round({_a_values('0', 'WHEN NOT bool_or(equal) OVER (PARTITION BY gene, cls) THEN 0.01')}, 6) AS aval FROM ec")
+def a_values_without_rate(spark, sf_dir):
+    return quantify.valued(eq_rows(spark, sf_dir), 0.0).select("gene", "cls", "tx", F.round("aval", 6).alias("aval"))
+
+
+@query("SELECT gene, cls, tx, nobs FROM (SELECT *, sum(nobs) OVER (PARTITION BY gene) AS g, sum(nobs) OVER (PARTITION BY gene, tx) AS t FROM (SELECT gene, cls, tx, CASE WHEN (gene + tx) % 3 = 0 THEN 0 ELSE nobs END AS nobs FROM ec)) WHERE g > 0 AND t > 0")
+def observed_transcripts(spark, sf_dir):
+    d = eq_rows(spark, sf_dir).select("gene", "cls", "tx", F.when((F.col("gene") + F.col("tx")) % 3 == 0, 0).otherwise(F.col("nobs")).alias("nobs"))
+    return quantify.observed_only(d)
+
+
+#: Five rounds of the iteration, unrolled.
+_EM = ", em0 AS (SELECT gene, cls, tx, nobs, equal, multi, " + _a_values("0.5") + " AS a, nobs / k AS y, 1.0::DOUBLE AS th FROM (SELECT *, sum(n) OVER (PARTITION BY gene) AS k FROM ec))" + "".join(
+    f", em{i} AS (SELECT * EXCLUDE (th, mix), coalesce(sum(CASE WHEN mix > 0 THEN a * th * y / mix ELSE 0 END) OVER (PARTITION BY gene, tx) / nullif(sum(a) OVER (PARTITION BY gene, tx), 0), 0) AS th FROM (SELECT *, sum(a * th) OVER (PARTITION BY gene, cls) AS mix FROM em{i - 1}))" for i in range(1, 6)
+)
+_ESTIMATE = "CASE WHEN mix > 0 THEN a * th * nobs / mix ELSE 0 END"
+
+
+@query(f"{_EM} SELECT gene, tx, round(sum({_ESTIMATE}), 4) AS counts, round(sum(CASE WHEN equal THEN {_ESTIMATE} ELSE 0 END), 4) AS full_length_counts, round(sum(CASE WHEN NOT multi THEN {_ESTIMATE} ELSE 0 END), 4) AS unique_counts FROM (SELECT *, sum(a * th) OVER (PARTITION BY gene, cls) AS mix FROM em5) GROUP BY gene, tx")
 def em_quant(spark, sf_dir):
-    d = quantify.quantified(quantify.valued(eq_rows(spark, sf_dir), 0.5))
-    return d.select("gene", "tx", *[F.round(c, 5).alias(c) for c in ("counts", "full_length_counts", "unique_counts")])
+    """Five rounds, as many as its SQL has."""
+    d = quantify.quantified(quantify.valued(eq_rows(spark, sf_dir), 0.5), max_iterations=6, tolerance=0.0)
+    return d.select("gene", "tx", *[F.round(c, 4).alias(c) for c in ("counts", "full_length_counts", "unique_counts")])
 
 
 _LONG = ", tc AS (SELECT gene, tx, cls AS sample, sum(n)::BIGINT AS counts FROM eq GROUP BY ALL)"
@@ -198,25 +282,27 @@ def melt_counts(spark, sf_dir):
     return d.withColumn("sample", F.substring("sample", 2, 9).cast("long"))
 
 
-@query(f"{_LONG}, v AS (SELECT gene, tx, stddev_samp(log2(coalesce(counts, 0) + 1)) AS sd FROM (SELECT gene, tx, sample, coalesce(counts, 0) AS counts FROM (SELECT DISTINCT gene, tx FROM tc) CROSS JOIN (SELECT unnest(range(5)) AS sample) LEFT JOIN tc USING (gene, tx, sample)) GROUP BY ALL) SELECT gene, tx, round(sd, 6) AS sd FROM v WHERE sd > (SELECT median(sd) FROM v) + 1e-9")
+_WIDE = f"{_LONG}, wd AS (SELECT gene, tx, " + ", ".join(f"coalesce(sum(counts) FILTER (sample = {i}), 0)::DOUBLE AS c{i}" for i in range(5)) + " FROM tc GROUP BY ALL)"
+_SD = "list_stddev_samp([c0, c1, c2, c3, c4])"
+_VARY = f"{_WIDE}, vs AS (SELECT *, {_SD} AS sd FROM wd), vv AS (SELECT gene, tx, sd, " + ", ".join(f"log2(c{i} + 1) AS s{i}" for i in range(5)) + " FROM vs WHERE sd > (SELECT median(sd) FROM vs) + 1e-9)"
+
+
+def _varying(spark, sf_dir):
+    d = _long(spark, sf_dir).withColumn("sample", F.concat(F.lit("s"), F.col("sample").cast("string")))
+    return plots.varying(d, [f"s{i}" for i in range(5)], ["gene", "tx"], "counts")
+
+
+@query(f"{_VARY} SELECT gene, tx, round(sd, 6) AS sd FROM vv")
 def variance_filter(spark, sf_dir):
-    d = pivot_counts(spark, sf_dir).unpivot(["gene", "tx"], [f"s{i}" for i in range(5)], "sample", "counts")
-    v = d.groupBy("gene", "tx").agg(F.stddev_samp(F.log2(F.col("counts") + 1)).alias("sd"))
-    m = v.agg(F.median("sd").alias("m"))
-    return v.join(F.broadcast(m), F.col("sd") > F.col("m") + 1e-9).select("gene", "tx", F.round("sd", 6).alias("sd"))
+    return _varying(spark, sf_dir).select("gene", "tx", F.round("sd", 6).alias("sd"))
 
 
-@query(f"{_LONG}, w AS (SELECT gene, tx, coalesce(sum(counts) FILTER (sample = 0), 0) AS a, coalesce(sum(counts) FILTER (sample = 1), 0) AS b FROM tc GROUP BY ALL), r AS (SELECT avg(ra) OVER (PARTITION BY a) AS ra, avg(rb) OVER (PARTITION BY b) AS rb FROM (SELECT a, b, row_number() OVER (ORDER BY a) AS ra, row_number() OVER (ORDER BY b) AS rb FROM w)) SELECT round(corr(ra, rb), 6) AS rho FROM r")
-def spearman(spark, sf_dir):
-    d = pivot_counts(spark, sf_dir).select(F.col("s0").alias("a"), F.col("s1").alias("b"))
-    # mid-ranks from the counts of distinct values: no task ranks the rows themselves
+_RANKS = ", ".join(f"(rank() OVER (ORDER BY s{i}) + (count(*) OVER (PARTITION BY s{i}) - 1) / 2)::DOUBLE AS r{i}" for i in range(5))
 
-    def mid(c):
-        n = d.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return n.select(c, (before + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
-    return d.join(mid("a"), "a").join(mid("b"), "b").agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
+@query(f"{_VARY}, rk AS (SELECT {_RANKS} FROM vv) " + " UNION ALL ".join(f"SELECT {i}::INT AS a, {j}::INT AS b, round(corr(r{i}, r{j}), 6) AS rho FROM rk" for i in range(5) for j in range(5)))
+def spearman(spark, sf_dir):
+    return plots.correlations(_varying(spark, sf_dir), 5).withColumn("rho", F.round("rho", 6))
 
 
 @query("SELECT gene, count(*) FILTER (NOT any_equal) AS incompatible, sum(nobs) FILTER (NOT any_equal)::BIGINT AS counts FROM (SELECT gene, cls, max(nobs) AS nobs, bool_or(equal) AS any_equal FROM ec GROUP BY ALL) GROUP BY 1 HAVING count(*) FILTER (NOT any_equal) > 0")
@@ -237,15 +323,7 @@ def read_to_tx(spark, sf_dir):
 
 @query(None)
 def pca(spark, sf_dir):
-    """The samples' first two principal components over log counts of the transcripts that vary."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-
-    names = [f"s{i}" for i in range(5)]
-    d = pivot_counts(spark, sf_dir).select("gene", "tx", *[F.log2(F.col(c) + 1).alias(c) for c in names])
-    m = d.agg(*[F.avg(c).alias(c) for c in names]).first()
-    d = VectorAssembler(inputCols=names, outputCol="v").transform(d.select(*[(F.col(c) - m[c]).alias(c) for c in names]))
-    model = PCA(k=2, inputCol="v", outputCol="p").fit(d)
-    rows = [(names[i], float(model.pc[i, 0]), float(model.pc[i, 1]), float(model.explainedVariance[0])) for i in range(5)]
+    """sample, pc1, pc2, share (of the deviations): the samples' first two principal components over the transcripts that vary."""
+    p, share = plots.principal_components(_varying(spark, sf_dir), 5)
+    rows = [(f"s{i}", round(float(p[i, 0]), 4), round(float(p[i, 1]), 4), round(float(share[0]), 6)) for i in range(5)]
     return spark.createDataFrame(rows, "sample string, pc1 double, pc2 double, share double")
-
-

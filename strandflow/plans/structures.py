@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import ranges as R
 from strandflow.operators import compare, genes, junctions, read_classes
-from strandflow.operators.interval_join import nearest_equal, overlap_join, reduced, within_join
-from strandflow.plans.fixtures import BASE, LISTS, annotation_exons, read_exons, reads, transcripts
+from strandflow.operators.interval_join import members, nearest_equal, overlap_join, reduced, within_join
+from strandflow.plans.fixtures import BASE, LISTS, annotation_exons, genome, read_exons, reads, transcripts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -74,18 +74,25 @@ def range_reduce(spark, sf_dir):
     return reduced(read_exons(spark, sf_dir).select("chr", "strand", "s", "e"), ["chr", "strand"])
 
 
+@query("""SELECT r.read_id, r.s, r.e, m.s AS rs, m.e AS re FROM rexons r JOIN ("""
+       + _ISLANDS.format(k="chr, strand", t="rexons").replace(", f AS (", "WITH f AS (", 1) + """) m ON r.chr = m.chr AND r.strand = m.strand AND m.s <= r.s AND r.e <= m.e""", False)
+def range_members(spark, sf_dir):
+    return members(read_exons(spark, sf_dir).select("read_id", "chr", "strand", "s", "e"), ["chr", "strand"]).select("read_id", "s", "e", "rs", "re")
+
+
 @query(_ISLANDS.format(k="gene, chr, strand", t="anno"), False)
 def gene_ranges(spark, sf_dir):
     return reduced(annotation_exons(spark, sf_dir).select("gene", "chr", "strand", "s", "e"), ["gene", "chr", "strand"])
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    """Reads with all annotated transcripts of the same chromosome, strand and locus: q, s lists. _PAIRS has only the least txid of each."""
+    """Reads with all annotated transcripts of the same chromosome, strand and locus: x and y lists."""
     t = transcripts(spark, sf_dir).select("chr", "strand", "locus", "tx", "gene", F.col("x").alias("y"))
     return reads(spark, sf_dir).join(t, ["chr", "strand", "locus"])
 
 
-_PAIRS = ", p AS (SELECT r.read_id, r.strand, t.tx, r.x AS q, t.x AS y FROM reads r JOIN (SELECT * FROM txs QUALIFY row_number() OVER (PARTITION BY chr, strand, locus ORDER BY txid) = 1) t USING (chr, strand, locus))"
+PAIRS = "p AS (SELECT r.read_id, r.strand, t.tx, r.x AS q, t.x AS y FROM reads r JOIN txs t USING (chr, strand, locus))"
+_PAIRS = f", {PAIRS}"
 _WIDTH = "coalesce(list_sum(list_transform({0}, lambda r: r.e - r.s + 1)), 0)"
 _COMMON = "coalesce(list_sum(list_transform({0}, lambda a: coalesce(list_sum(list_transform({1}, lambda b: greatest(least(a.e, b.e) - greatest(a.s, b.s) + 1, 0))), 0))), 0)"
 _GAPS = "list_transform(range(1, len({0})), lambda i: {{'s': {0}[i].e + 1, 'e': {0}[i + 1].s - 1}})"
@@ -188,10 +195,8 @@ SELECT chr, s, e, motif, CASE WHEN motif IN ('GT-AG', 'GC-AG', 'AT-AC', 'AT-AA',
 
 @query(_MOTIF)
 def splice_motif(spark, sf_dir):
-    at = lambda p: F.substring(F.lit("ACGT"), ((p * 7 + 3) % 4 + 1).cast("int"), F.lit(1))
-    d = _introns(spark, sf_dir).select("chr", "s", "e").distinct()
-    m = F.concat(at(F.col("s")), at(F.col("s") + 1), F.lit("-"), at(F.col("e") - 1), at(F.col("e")))
-    return d.withColumn("motif", m).withColumn("splice_strand", R.motif_strand(F.col("motif")))
+    d = junctions.with_motif(_introns(spark, sf_dir).select("chr", "s", "e").distinct(), genome(spark))
+    return d.select("chr", "s", "e", "motif", "splice_strand")
 
 
 @query("""SELECT chr, s, score, coalesce(s - lag(s) OVER w, 0) AS before, coalesce(lead(s) OVER w - s, 0) AS after, coalesce(lag(score) OVER w, 0) AS score_before, coalesce(lead(score) OVER w, 0) AS score_after
@@ -214,10 +219,6 @@ def read_classes_spliced(spark, sf_dir):
     return read_classes.spliced(reads(spark, sf_dir))
 
 
-QUERIES["read_classes"] = QUERIES["read_classes_spliced"]
-ORACLES["read_classes"] = ORACLES["read_classes_spliced"]
-
-
 @query("""SELECT read_id, s, e FROM (SELECT read_id, CASE WHEN s <= lag(e + 20) OVER w THEN lag(s) OVER w ELSE s END AS s, e + 20 AS e, coalesce(lead(s) OVER w <= e + 20, false) AS gone FROM (
 SELECT read_id, s, e, strand FROM introns) WINDOW w AS (PARTITION BY read_id ORDER BY s)) WHERE NOT gone""")
 def micro_exon_collapse(spark, sf_dir):
@@ -254,20 +255,34 @@ def gene_vote(spark, sf_dir):
     return genes.vote(_introns(spark, sf_dir), _annotated(spark, sf_dir).select("gene", "chr", "strand", "s", "e").distinct())
 
 
-@query(None)
-def novel_gene_components(spark, sf_dir):
-    return genes.novel(read_exons(spark, sf_dir).select("read_id", "chr", "strand", "s", "e"))
+def _count(x: str, test: str) -> str:
+    return f"len(list_filter({x}, lambda g: {test}))"
+
+
+def _nested(x: str, y: str, test: str) -> str:
+    return f"coalesce(list_sum(list_transform({x}, lambda g: len(list_filter({y}, lambda r: {test})))), 0)::BIGINT"
+
+
+def _skips(g: str, full: str, one: str, end: str) -> str:
+    within = lambda r: _count(g, f"g.s <= {r}.s AND {r}.e <= g.e")
+    return f"greatest({_nested(full, g, 'r.s <= g.s AND g.e <= r.e')} - {within(one)} - {within(end)}, 0)::BIGINT"
+
+
+_OVER = "(r.s <= g.{0} AND g.{0} <= r.e)"
+_AT_END, _AT_START = (_nested("gq", "y", f"{_OVER.format(a)} AND NOT {_OVER.format(b)}") for a, b in (("e", "s"), ("s", "e")))
+_IN_START, _IN_END = ("g.s < {0}.s AND {0}.s < g.e AND {0}.e > g.e", "{0}.s < g.s AND g.s < {0}.e AND g.e > {0}.e")
 
 
-@query(f"""{_PAIRS} SELECT read_id, tx,
-NOT (fq.s <= fs.e AND fs.s <= fq.e) AS alternative_first_exon, NOT (lq.s <= ls.e AND ls.s <= lq.e) AS alternative_last_exon,
-CASE WHEN fq.s <= fs.e AND fs.s <= fq.e THEN CASE WHEN strand = '-' THEN fq.e - fs.e ELSE fs.s - fq.s END ELSE 0 END AS alternative_tss,
-CASE WHEN lq.s <= ls.e AND ls.s <= lq.e THEN CASE WHEN strand = '-' THEN ls.s - lq.s ELSE lq.e - ls.e END ELSE 0 END AS alternative_tes,
-len(list_filter(gq, lambda i: len(list_filter(y, lambda b: b.s <= i.s AND i.e <= b.e)) > 0)) AS intron_retention_subject,
-len(list_filter(gy, lambda i: len(list_filter(q, lambda b: b.s <= i.s AND i.e <= b.e)) > 0)) AS intron_retention_query,
-len(list_filter(y, lambda b: len(list_filter(gq, lambda i: i.s <= b.s AND b.e <= i.e)) > 0)) AS exons_in_introns_query,
-len(list_filter(q, lambda b: len(list_filter(gy, lambda i: i.s <= b.s AND b.e <= i.e)) > 0)) AS exons_in_introns_subject
-FROM (SELECT *, {_GAPS.format('q')} AS gq, {_GAPS.format('y')} AS gy, CASE WHEN strand = '-' THEN q[-1] ELSE q[1] END AS fq, CASE WHEN strand = '-' THEN q[1] ELSE q[-1] END AS lq, CASE WHEN strand = '-' THEN y[-1] ELSE y[1] END AS fs, CASE WHEN strand = '-' THEN y[1] ELSE y[-1] END AS ls FROM p)""")
+@query(f"""{_PAIRS}, k AS (SELECT *, {_GAPS.format('q')} AS gq, {_GAPS.format('y')} AS gy, CASE WHEN strand = '-' THEN q[-1] ELSE q[1] END AS fq, CASE WHEN strand = '-' THEN q[1] ELSE q[-1] END AS lq, CASE WHEN strand = '-' THEN y[-1] ELSE y[1] END AS fs, CASE WHEN strand = '-' THEN y[1] ELSE y[-1] END AS ls FROM p),
+f AS (SELECT *, NOT (fq.s <= fs.e AND fs.s <= fq.e) AS af, NOT (lq.s <= ls.e AND ls.s <= lq.e) AS al, {_AT_END} AS at_end, {_AT_START} AS at_start FROM k)
+SELECT read_id, tx, af AS alternative_first_exon, al AS alternative_last_exon,
+CASE WHEN af THEN 0 WHEN strand = '-' THEN fq.e - fs.e ELSE fs.s - fq.s END AS alternative_tss, CASE WHEN al THEN 0 WHEN strand = '-' THEN ls.s - lq.s ELSE lq.e - ls.e END AS alternative_tes,
+af AND {_count('y', 'g.s <= fq.e AND fq.s <= g.e')} > 0 AS internal_first_exon_query, af AND {_count('q', 'g.s <= fs.e AND fs.s <= g.e')} > 0 AS internal_first_exon_subject,
+al AND {_count('y', 'g.s <= lq.e AND lq.s <= g.e')} > 0 AS internal_last_exon_query, al AND {_count('q', 'g.s <= ls.e AND ls.s <= g.e')} > 0 AS internal_last_exon_subject,
+{_nested('gq', 'y', 'r.s <= g.s AND g.e <= r.e')} AS intron_retention_subject, {_nested('gy', 'q', 'r.s <= g.s AND g.e <= r.e')} AS intron_retention_query,
+{_skips('gq', 'y', 'fs', 'ls')} AS exon_skipping_query, {_skips('gy', 'q', 'fq', 'lq')} AS exon_skipping_subject,
+CASE WHEN strand = '-' THEN at_start - {_count('gq', _IN_END.format('fs'))} ELSE at_end - {_count('gq', _IN_START.format('fs'))} END AS exon_5prime,
+CASE WHEN strand = '-' THEN at_end - {_count('gq', _IN_START.format('ls'))} ELSE at_start - {_count('gq', _IN_END.format('ls'))} END AS exon_3prime FROM f""")
 def compare_transcripts(spark, sf_dir):
     return compare.described(pairs(spark, sf_dir), F.col("x"), F.col("y"), F.col("strand"), ["read_id", "tx"])
 
