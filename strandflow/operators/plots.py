@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.operators.ordered import median, mid_ranks
+from strandflow.operators.staged import written
 from strandflow.sources.gtf import wide
 
 
@@ -39,8 +40,9 @@ def varying(counts: DataFrame, samples: list[str], keys: list[str], value: str =
 
 def correlations(d: DataFrame, n: int) -> DataFrame:
     """a, b, rho: Spearman's correlation of each pair of the columns s0, s1, ..., by mid-ranks."""
+    base = d = written(d.select(*[f"s{i}" for i in range(n)]))
     for i in range(n):
-        d = d.join(mid_ranks(d, f"s{i}", f"r{i}"), f"s{i}")
+        d = d.join(mid_ranks(base, f"s{i}", f"r{i}"), f"s{i}")
     pairs = [(i, j) for i in range(n) for j in range(n)]
     row = d.agg(*[F.corr(f"r{i}", f"r{j}").alias(f"c{i}_{j}") for i, j in pairs])
     return row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.col(f"c{i}_{j}").alias("rho")) for i, j in pairs])).alias("x")).select("x.*")

@@ -20,11 +20,11 @@ def attribute(name: str) -> Column:
 def parse_gtf(lines: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """The exon rows of lines (value): chr, s, e, strand (`.` as `*`), gene, tx, exon_number, and the extra attributes."""
     f = F.split("value", "\t")
-    d = lines.filter(~F.col("value").startswith("#")).select(f.alias("f")).filter((F.size("f") >= 9) & (F.col("f")[2] == "exon"))
-    d = d.select(*[F.col("f")[i].alias(n) for i, n in enumerate(("chr", "source", "type", "s", "e", "score", "strand", "frame", "attribute"))])
+    d = lines.filter(~F.col("value").startswith("#")).select(f.alias("f")).filter((F.size("f") >= 9) & (F.get("f", F.lit(2)) == "exon"))
+    d = d.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(("chr", "source", "type", "s", "e", "score", "strand", "frame", "attribute"))])
     strand = F.when(F.col("strand") == ".", "*").otherwise(F.col("strand"))
     names = [("gene", "gene_id"), ("tx", "transcript_id"), ("exon_number", "exon_number"), *[(x, x) for x in extra if x != "exon_number"]]
-    return d.select("chr", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), strand.alias("strand"), *[attribute(a).alias(n) for n, a in names])
+    return d.select("chr", F.col("s").try_cast("long").alias("s"), F.col("e").try_cast("long").alias("e"), strand.alias("strand"), *[attribute(a).alias(n) for n, a in names])
 
 
 def read_gtf(spark: SparkSession, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -74,7 +74,7 @@ def aligned(d: DataFrame) -> DataFrame:
 def parse_sam(lines: DataFrame) -> DataFrame:
     """read_id, chr, strand, x of SAM lines (value)."""
     f = F.split("value", "\t")
-    d = lines.filter(~F.col("value").startswith("@")).select(f[0].alias("read_id"), f[1].cast("int").alias("flag"), f[2].alias("chr"), f[3].cast("long").alias("pos"), f[5].alias("cigar"))
+    d = lines.filter(~F.col("value").startswith("@")).select(f[0].alias("read_id"), F.get(f, F.lit(1)).try_cast("int").alias("flag"), F.get(f, F.lit(2)).alias("chr"), F.get(f, F.lit(3)).try_cast("long").alias("pos"), F.get(f, F.lit(5)).alias("cigar"))
     return aligned(d)
 
 
