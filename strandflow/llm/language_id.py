@@ -41,7 +41,7 @@ ORDERS = 4
 PIECE = 1 << 16
 PER_LANG, MOST_LANGS = 300, 500
 #: The share of what is to be taken that may be rejected, and in how many turns languages are left out.
-REJECT, FOLDS = 0.002, 4
+REJECT, FOLDS = 0.01, 4
 #: Segments of a sampled document that are learned from besides the whole, and their letters.
 SEGMENTS, SEGMENT = 3, 60
 #: Letters of the longest negatives.
