@@ -103,17 +103,21 @@ def features(spark, sf_dir):
     return d.select("sample", "chr", "strand", "chain", *[F.round(c, 6).alias(c) for c in ("gene_read_prop", "num_reads", "strand_bias")])
 
 
-#: Scores by formula; classes of every seventh have none.
-_SC = "sc0 AS (SELECT *, read_count / sum(read_count) OVER (PARTITION BY sample, gene) AS gene_read_prop, CASE WHEN s % 7 = 0 THEN NULL ELSE (s % 10) / 10.0::DOUBLE END AS score, (e % 10) / 10.0::DOUBLE AS score_default FROM rc)"
+#: Scores by formula, from the tens of the end (all ends have 9 as last digit, all starts of a locus are equal); classes of every seventh have none.
+_SC = "sc0 AS (SELECT *, read_count / sum(read_count) OVER (PARTITION BY sample, gene) AS gene_read_prop, CASE WHEN e // 10 % 7 = 0 THEN NULL ELSE (e // 10 % 10) / 10.0::DOUBLE END AS score, (e // 10 % 9) / 10.0::DOUBLE AS score_default FROM rc)"
 _FLAGS = f"{_SC}, fl AS (SELECT *, read_count >= 2 AS ok_count, gene_read_prop >= 0.05 AS ok_prop, coalesce(score > 0, false) AS ok_score FROM sc0)"
 
 
+def _tens(n):
+    return F.expr("e div 10") % n
+
+
 def scored_classes(spark, sf_dir):
     d = sample_classes(spark, sf_dir)
     t = d.groupBy("sample", "gene").agg(F.sum("read_count").alias("t"))
     d = d.join(t, ["sample", "gene"]).withColumn("gene_read_prop", F.col("read_count") / F.col("t")).drop("t")
     return d.withColumns({
-        "score": F.when(F.col("s") % 7 != 0, (F.col("s") % 10) / 10.0), "score_default": (F.col("e") % 10) / 10.0,
+        "score": F.when(_tens(7) != 0, _tens(10) / 10.0), "score_default": _tens(9) / 10.0,
         "confidence": F.lit("highConfidenceJunctionReads"), "n_exons": F.lit(2), "equal": F.lit(False),
     })
 
@@ -148,7 +152,7 @@ def weighted_median(spark, sf_dir):
 
 
 #: Reads of one exon by sample as new unspliced classes.
-_UN = "un AS (SELECT concat('s', CAST(read_id % 4 AS VARCHAR)) AS sample, chr, strand, s, e, count(*) + 1 AS read_count, count(*) / 100.0::DOUBLE AS gene_read_prop, (s % 10) / 5.0::DOUBLE AS score, (e % 10) / 5.0::DOUBLE AS score_default FROM reads WHERE n = 1 GROUP BY ALL)"
+_UN = "un AS (SELECT concat('s', CAST(read_id % 4 AS VARCHAR)) AS sample, chr, strand, s, e, count(*) + 1 AS read_count, count(*) / 100.0::DOUBLE AS gene_read_prop, (e // 10 % 10) / 5.0::DOUBLE AS score, (e // 10 % 9) / 5.0::DOUBLE AS score_default FROM reads WHERE n = 1 GROUP BY ALL)"
 
 
 @query(f""", {_UN}, f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chr ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM un),
@@ -157,7 +161,7 @@ b AS (SELECT chr, rs, re, sample, sum(score * read_count) / sum(read_count) AS s
 SELECT chr, '*' AS strand, rs AS "start", re AS "end", sum(read_count)::BIGINT AS read_count, count(*) FILTER (read_count >= 2) AS n_count, count(*) FILTER (prop >= 0.05) AS n_prop, count(*) FILTER (score > 1) AS n_score, round(max(score), 6) AS max_score, round(max(score_default), 6) AS max_score_default FROM b GROUP BY ALL""")
 def unspliced_combine(spark, sf_dir):
     d = reads(spark, sf_dir).filter("n = 1").groupBy(F.concat(F.lit("s"), F.pmod("read_id", F.lit(4)).cast("string")).alias("sample"), "chr", "strand", "s", "e").agg(F.count(F.lit(1)).alias("c"))
-    d = d.withColumns({"read_count": F.col("c") + 1, "gene_read_prop": F.col("c") / 100.0, "score": (F.col("s") % 10) / 5.0, "score_default": (F.col("e") % 10) / 5.0, "confidence": F.lit("unsplicedNew"), "equal": F.lit(False)})
+    d = d.withColumns({"read_count": F.col("c") + 1, "gene_read_prop": F.col("c") / 100.0, "score": _tens(10) / 5.0, "score_default": _tens(9) / 5.0, "confidence": F.lit("unsplicedNew"), "equal": F.lit(False)})
     d = samples.unspliced_combined(d).drop("chain", "confidence")
     return d.withColumns({c: F.round(c, 6) for c in ("max_score", "max_score_default")})
 
