@@ -7,7 +7,8 @@ window of WINDOW words that holds an anchor of its text asks in a second exchang
 whether it starts anywhere else. What seems to is asked once more, by another hash function of 64 bits from the words' letters on, among
 such windows only: two windows pass for equal only if 128 bits of them are. Adjacent repeated windows join to maximal repeats, which are removed.
 
-Nothing is paired: a passage in n texts costs n entries, and a unit sends each hash once. Texts are keyed by their MD5, so only
+Nothing is paired: a passage in n texts costs n entries, and a unit sends each hash once. An exchange's rows are its units times its
+buckets, so it has no more buckets than give such a row some hashes, however many partitions there are. Texts are keyed by their MD5, so only
 the texts with anchors (then those with repeats) are shuffled, to be met by their few places; a bitmap of fixed size thins the
 scan before that. Exact copies of at least WINDOW words are removed wholly, whatever else they hold, and one per partition speaks
 for them.
@@ -33,6 +34,8 @@ from strandflow.llm.rolling import ROWS, answers, hits_by_text, runs, to_buckets
 WINDOW, BLOCK = 35, 18
 #: Bytes of text for each bucket of the hash range; a bucket's hashes, about as many bytes, meet in one task.
 BUCKET_BYTES = 64 << 20
+#: Hashes of a unit for one bucket, on average at least; with fewer a row costs more than what it carries.
+ROW_HASHES = 128
 #: Words of a unit; a longer text is a unit of its own.
 UNIT_WORDS = 1_500_000
 #: Bytes of text that are hashed at a time.
@@ -103,7 +106,7 @@ def anchors(buckets: int, bits: int):
             tell = np.ones(len(uniq), bool)
             tell[at[alone]] = False
             rows = to_buckets(uid, uniq[tell], w[block[alone]], block[alone], buckets, bits)
-            rows.append((uid % buckets, uid, 1, first[long].astype(np.uint32).tobytes(), b"".join(d for d, x in zip(digests, long, strict=True) if x), block[~alone].astype(np.uint32).tobytes()))
+            rows.append(((task + seq) % buckets, uid, 1, first[long].astype(np.uint32).tobytes(), b"".join(d for d, x in zip(digests, long, strict=True) if x), block[~alone].astype(np.uint32).tobytes()))
             yield pd.DataFrame(rows, columns=["bucket", "uid", "kind", "a", "b", "c"])
 
     return units
@@ -135,7 +138,7 @@ def extended(buckets: int, which: int = 0):
             n = np.repeat(size := np.diff(np.r_[np.flatnonzero(new), len(s)]), size)
             alone = n == 1
             rows = to_buckets(uid, s[~alone & new], s[alone], place[order][alone], buckets, 64)
-            rows.append((uid % buckets, uid, 1, first.astype(np.uint32).tobytes(), b"".join(digests), place[order][~alone].astype(np.uint32).tobytes()))
+            rows.append(((task + seq) % buckets, uid, 1, first.astype(np.uint32).tobytes(), b"".join(digests), place[order][~alone].astype(np.uint32).tobytes()))
             yield pd.DataFrame(rows, columns=["bucket", "uid", "kind", "a", "b", "c"])
 
     return units
@@ -153,20 +156,36 @@ def _asked(units: DataFrame) -> DataFrame:
     return written(by_text.groupBy("digest").agg(F.max("places").alias("places")))
 
 
+def bucket_count(size: int, hashes: int, tasks: int, shuffled: int) -> int:
+    """Buckets of an exchange of about so many hashes from so many tasks; size is the bytes of all texts, shuffled the shuffle's partitions.
+
+    Several for each of the shuffle's tasks, but with ROW_HASHES in a row: a bucket for each partition from each partition's task
+    would be the square of the partitions. What a task can hold goes before."""
+    units = tasks + hashes // UNIT_WORDS
+    return max(1, -(-size // BUCKET_BYTES), min(4 * shuffled, hashes // (units * ROW_HASHES)))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """digest (MD5 of the text), places: the words at which repeated windows start, of each text that has any; texts that
     are copied wholly may miss places, since copies() has them."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    size, last = docs.select(F.octet_length("text").alias("size"), F.spark_partition_id().alias("task")).agg(F.sum("size"), F.max("task")).first()
+    size, scanned = size or 0, (last or 0) + 1
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.filter(F.col("text").isNotNull()).select(F.md5("text").alias("digest"), "text")
 
     def near(found: DataFrame) -> DataFrame:
         return flagged(d, found, "digest", "near").filter("near").drop("near").join(found, "digest")
 
+    def sized(found: DataFrame, each: int) -> int:
+        """Buckets where each place of the found ones asks so many hashes; their texts come by a scan or a shuffle."""
+        places = (found.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // 4
+        return bucket_count(size, each * places, max(scanned, shuffled), shuffled)
+
+    buckets = bucket_count(size, size // 8, scanned, shuffled)  # a word takes about as many bytes as its hash
     found = _asked(d.mapInPandas(anchors(buckets, min(64, 33 + buckets.bit_length())), ROWS))
-    found = _asked(near(found).mapInPandas(extended(buckets), ROWS))
-    return _asked(near(found).mapInPandas(extended(buckets, 1), ROWS))
+    found = _asked(near(found).mapInPandas(extended(sized(found, WINDOW - BLOCK + 1)), ROWS))
+    return _asked(near(found).mapInPandas(extended(sized(found, 1), 1), ROWS))
 
 
 def copies(docs: DataFrame) -> DataFrame:

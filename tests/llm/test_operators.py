@@ -89,6 +89,35 @@ def test_substring_dedup_exact_at_the_edge(spark):
     assert got(substring_dedup.deduped(spark.createDataFrame(corpus, DOCS)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(corpus)
 
 
+def test_substring_dedup_rows_of_many_partitions(spark, monkeypatch):
+    """What units send grows with their hashes, not with the square of the partitions, and the results stay those of brute force."""
+    base = words_of(70, 120)
+    texts = [" ".join([*base[: k % 100], f"x{k}", *base[k % 100 + 1 :]]) for k in range(150)]
+    texts += [texts[3], None, *(" ".join(words_of(400 + k, 150, 100_000)) for k in range(50))]
+    corpus, made, asked = rows(texts), [], substring_dedup._asked
+
+    def counted(units):
+        made.append((units := substring_dedup.written(units)).count())
+        return asked(units)
+
+    monkeypatch.setattr(substring_dedup, "_asked", counted)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in (*conf, "spark.sql.shuffle.partitions")}
+    sums = []
+    try:
+        for partitions in ("8", "32"):
+            for k, v in (conf | {"spark.sql.shuffle.partitions": partitions}).items():
+                spark.conf.set(k, v)
+            made.clear()
+            out = substring_dedup.deduped(spark.createDataFrame(corpus, DOCS))
+            assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(corpus)
+            sums.append(sum(made[1:]))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sums[1] < 2 * sums[0], sums
+
+
 # --- benchmark decontamination
 
 
