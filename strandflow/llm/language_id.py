@@ -2,10 +2,10 @@
 
 A text's features are the n-grams of 1 to 4 of its letters within words (word ends included), hashed into BUCKETS rows of an
 embedding table; their average goes through a linear softmax over the languages and one further class for what is none of them.
-Both layers are trained by stochastic gradient descent in numpy on the driver, over a bounded sample of labelled documents:
-about PER_LANG documents of each of the MOST_LANGS most frequent languages, chosen by a hash of doc_id. Only features leave the
-executors (at most BUCKETS numbers a row, however long the text): of the whole text, of some segments of it, and of negatives made
-from it, whose letters are shuffled, or drawn evenly from the letters that it has.
+Both layers are trained by stochastic gradient descent in numpy in one task, over a bounded sample of labelled documents:
+about PER_LANG documents of each of the MOST_LANGS most frequent languages, chosen by a hash of doc_id. Only features reach that
+task (at most BUCKETS numbers a row, however long the text): of the whole text, of some segments of it, and of negatives made
+from it, whose letters are shuffled, or drawn evenly from the letters that it has. The driver gets the model, never the sample.
 
 A part of the sample is held back for calibration. It sets the softmax's temperature, which makes the score a probability, and
 the rejection threshold on the margin, the log-odds of the best language against none. Held-back texts and segments of known
@@ -148,8 +148,9 @@ def fit(rows: Rows, which: np.ndarray, y: np.ndarray, n: int, epochs: int = 10,
     return e @ w, b
 
 
-#: at and n: buckets and counts, 32 bits each, as bytes, so that the driver holds no objects for them.
+#: at and n: buckets and counts, 32 bits each, as bytes, so that the task that trains holds no objects for them.
 FOUND = "lang string, held boolean, kind int, at binary, n binary"
+MODEL = "langs array<string>, table binary, bias binary, temperature double, threshold double"
 
 
 def shuffled(c: np.ndarray, r: np.random.Generator) -> np.ndarray:
@@ -203,8 +204,17 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SALT)), F.lit(1 << 20)) / float(1 << 20)
     held = F.pmod(F.xxhash64("doc_id", F.lit(SALT + 1)), F.lit(4)) == 0
-    rows = known.filter(draw < share).select("text", "lang", held.alias("held")).mapInPandas(_features, FOUND).toPandas()
-    return fitted(rows) if len(rows) else _none()
+    rows = known.filter(draw < share).select("text", "lang", held.alias("held")).mapInPandas(_features, FOUND)
+    found = rows.groupBy().applyInPandas(_fitted, MODEL).collect()
+    if not found:
+        return _none()
+    m = found[0]
+    return LanguageModel(list(m["langs"]), np.frombuffer(m["table"], np.float32).reshape(BUCKETS, -1), np.frombuffer(m["bias"], np.float32), m["temperature"], m["threshold"])
+
+
+def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
+    m = fitted(rows)
+    return pd.DataFrame({"langs": [m.langs], "table": [m.table.tobytes()], "bias": [m.bias.tobytes()], "temperature": [m.temperature], "threshold": [m.threshold]})
 
 
 def fitted(rows: pd.DataFrame) -> LanguageModel:

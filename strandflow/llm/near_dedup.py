@@ -20,8 +20,8 @@ of the band then with a second text of that, a linear number of pairs. Bands in
 bands, linked or not, stay as possible partners (similarity is not transitive): only pairs within one component are skipped. Up
 to REST texts of a band are compared in one task; the texts of larger bands are joined anew on the rarest shingles and the weight
 of each text, of which similar texts share one (prefix filtering, exact), and where more than REST texts or REST_SIZE shingles share one,
-blocks of them are compared in pairs. Links of THRESHOLD and more are joined to classes by min-label propagation with pointer jumping. Copies of a
-text are one node.
+blocks of them are compared in pairs. Links of THRESHOLD and more are joined to classes: up to FEW_LINKS of them by union-find in one task,
+beyond that by min-label propagation with pointer jumping. Copies of a text are one node.
 
 Defined cases: a null text is a class of its own, as is a text without words unless it has exact copies; exact copies are one class
 whatever their length; the class id is the least doc_id of the class (null last; null only if all are); of rows with the same
@@ -53,6 +53,8 @@ EIGHTH = np.log(2) / 8
 #: texts. REST: the same for those of them that are in several components after that.
 GROUP, REST = 512, 2048
 GROUP_SIZE = REST_SIZE = 2_000_000
+#: Links that are joined to classes in one task. Each round of the propagation is some shuffles, whose tasks the driver keeps account of.
+FEW_LINKS = 100_000
 #: Bytes of text whose signatures are made at a time.
 PIECE = 1 << 18
 
@@ -403,8 +405,27 @@ def _once(batches):
         yield pdf[keep]
 
 
+def _joined(batches):
+    """node, label of few edges: union-find that keeps the least node on top."""
+    of: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (up := of.setdefault(x, x)) != x:
+            of[x] = x = of[up]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            a, b = top(bytes(a)), top(bytes(b))
+            if a != b:
+                of[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(of), "label": [top(x) for x in of]})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of each connected component of edges (a, b)."""
+    """node, label: the least node of each connected component of edges (a, b), which are cheap to read again."""
+    if edges.count() <= FEW_LINKS:
+        return written(edges.select("a", "b").coalesce(1).mapInPandas(_joined, "node binary, label binary"))
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:

@@ -262,6 +262,44 @@ def test_near_dedup_of_a_hub(spark, monkeypatch, rest):
     assert {r.class_id for r in near_dedup.near_duplicates(d).collect()} == {0}
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components(spark, monkeypatch, few):
+    """Union-find in one task and the propagation give the least node of each component."""
+    monkeypatch.setattr(near_dedup, "FEW_LINKS", few)
+    r = random.Random(4)
+    name = [hashlib.md5(str(k).encode()).digest() for k in range(300)] + [b"\x00" * 16, b"\x00" * 15 + b"\x01", b"\xff" * 16]
+    pairs = [(name[k], name[k + 1]) for k in range(60)] + [tuple(r.sample(name[60:], 2)) for _ in range(130)] + [(name[-3], name[-1]), (name[-1], name[-2])]
+    pairs += [(b, a) for a, b in pairs[::7]] + pairs[::5]
+    group = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        low, high = sorted((group[a], group[b]))
+        group = {k: low if v == high else v for k, v in group.items()}
+    out = near_dedup.components(spark.createDataFrame(pairs, "a binary, b binary").repartition(5)).collect()
+    assert len(out) == len(group) and {bytes(x.node): bytes(x.label) for x in out} == group
+    assert near_dedup.components(spark.createDataFrame([], "a binary, b binary")).collect() == []
+
+
+def test_few_links_take_few_tasks(spark):
+    """The driver keeps account of every task: at 64 partitions a chain of 40 links took rounds of several shuffles each."""
+    name = [hashlib.md5(str(k).encode()).digest() for k in range(41)]
+    links = near_dedup.written(spark.createDataFrame(list(zip(name, name[1:], strict=False)), "a binary, b binary").coalesce(2))
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in changed}
+    context = spark.sparkContext
+    context.setJobGroup("few-links", "")
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        near_dedup.components(links)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = {k for j in status.getJobIdsForGroup("few-links") for k in status.getJobInfo(j).stageIds}
+    assert stages and sum(status.getStageInfo(k).numCompletedTasks for k in stages) < 64
+
+
 def test_near_dedup_of_nothing(nothing):
     assert near_dedup.near_duplicates(nothing).collect() == []
     assert near_dedup.representatives(nothing).collect() == []
@@ -735,6 +773,18 @@ def test_language_id(spark, docs, nothing):
     assert language_id.accepted(docs, model).columns == docs.columns
 
 
+def test_the_sample_is_not_trained_on_by_the_driver(spark, monkeypatch):
+    """The model is made in a task, and is the one that its sample gives here."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang in ('de', 'en')")
+    seen, fitted = [], language_id.fitted
+    monkeypatch.setattr(language_id, "fitted", lambda rows: seen.append(len(rows)) or fitted(rows))
+    m = language_id.train(table)
+    assert not seen and m.langs == ["de", "en"] and m.table.shape == (language_id.BUCKETS, 3)
+    texts = table.filter("text is not null").select("text").limit(50).toPandas()["text"]
+    again = language_id.train(table.repartition(7))
+    assert all(m.predict(t) == again.predict(t) for t in texts)
+
+
 def test_predictions_do_not_depend_on_labels_of_held_out_rows(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = table.withColumn("lang", F.when(language_id.held_out(), F.lit("zz")).otherwise(F.col("lang")))
