@@ -46,8 +46,8 @@ def classified(candidates: DataFrame, annotations: DataFrame, most: int = 35, sl
     i = c.select("cid", "chr", "strand", F.posexplode("g").alias("i", "r")).select("cid", "chr", "strand", "i", F.col("r.s").alias("s"), F.col("r.e").alias("e"))
     i = i.join(known, ["chr", "strand", "s", "e"], "left").withColumn("k", F.coalesce("k", F.lit(False)))
     i = i.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.count_if("k").alias("nk"), F.min_by("k", "i").alias("first"), F.max_by("k", "i").alias("last"))
-    hits = distance.cascade(items.withColumnRenamed("id", "qid"), annotations.select(F.col("tx").alias("sid"), "chr", "strand", F.col("x").alias("y")), most, slack, slack_ends)
-    h = distance.by_query(hits).select(F.col("qid").alias("cid"), "start_match", "end_match", F.col("compatible").alias("near"))
+    h = distance.by_query(items.withColumnRenamed("id", "qid"), annotations.select(F.col("tx").alias("sid"), "chr", "strand", F.col("x").alias("y")), most, slack, slack_ends)
+    h = h.select(F.col("qid").alias("cid"), "start_match", "end_match", F.col("compatible").alias("near"))
     d = c.join(m, "cid", "left").join(i, "cid").join(h, "cid", "left")
     plus, minus = F.col("strand") == "+", F.col("strand") == "-"
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
