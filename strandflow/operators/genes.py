@@ -10,18 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import ranges as R
-from strandflow.operators.interval_join import HOT, first_of, members, overlap_join, reduced, within_join
+from strandflow.operators.distance import compatible_ids
+from strandflow.operators.interval_join import HOT, first_of, members, overlap_join, reduced
 from strandflow.operators.staged import written
 
 
 def equivalence(tx: DataFrame) -> DataFrame:
-    """tx with eq: the sorted txids of all transcripts that its cut ranges are compatible with, itself included.
-
-    A compatible transcript covers the cut ranges, so it covers the first of them."""
-    q = tx.select("tx", "chr", "strand", R.cut_terminals(F.col("x")).alias("q")).withColumn("s", F.get("q", F.lit(0))["s"]).withColumn("e", F.get("q", F.lit(0))["e"])
-    t = tx.select("txid", "chr", "strand", F.explode("x").alias("r")).select("txid", "chr", "strand", F.col("r.s").alias("rs"), F.col("r.e").alias("re"))
-    j = within_join(q, t, ["chr", "strand"]).join(tx.select("txid", F.col("x").alias("y")), "txid").filter(R.compatible(F.col("q"), F.col("y")))
-    return j.groupBy("tx").agg(F.array_sort(F.collect_set("txid")).alias("eq"))
+    """tx with eq: the sorted txids of all transcripts that its cut ranges are compatible with, itself included."""
+    q = tx.select(F.col("tx").alias("qid"), "chr", "strand", "x")
+    t = tx.select(F.col("txid").alias("sid"), "chr", "strand", F.col("x").alias("y"))
+    return compatible_ids(q, t).select(F.col("qid").alias("tx"), F.col("sids").alias("eq"))
 
 
 def assign(exons: DataFrame, gene_ranges: DataFrame, least: int = 10) -> DataFrame:
