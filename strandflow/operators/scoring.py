@@ -17,6 +17,7 @@ from strandflow.functions import ranges as R
 from strandflow.operators import boosting
 from strandflow.operators.distance import within_pairs
 from strandflow.operators.ordered import cumulated, dealt
+from strandflow.operators.staged import written
 
 FEATURES = ["num_reads", "gene_read_prop", "start_sd", "end_sd", "n_a_start", "n_a_end", "n_t_start", "n_t_end", "strand_bias"]
 
@@ -24,10 +25,11 @@ FEATURES = ["num_reads", "gene_read_prop", "start_sd", "end_sd", "n_a_start", "n
 def ndr(df: DataFrame, id_: str = "id", score: str = "score", label: str = "label", places: int | None = 6) -> DataFrame:
     """df (id, score, label) with ndr: the share of unlabelled rows from the best score down, made monotone from the end.
 
-    Rows are ranked within ranges of the order, and what lies ahead of and behind a range is added: no task orders the whole table."""
-    d = df.withColumn("_rank", -F.col(score)).withColumn("_u", (~F.col(label)).cast("long"))
+    Rows are ranked within ranges of the order, and what lies ahead of and behind a range is added: no task orders the whole table. Both orders are made from written tables, as each is read
+    for a sample, for the sums of its ranges and for its rows."""
+    d = written(df.withColumn("_rank", -F.col(score)).withColumn("_u", (~F.col(label)).cast("long")))
     d = cumulated(d, ["_rank", id_], _n=F.lit(1).cast("long"), _f=F.col("_u")).withColumn("_raw", F.col("_f") / F.col("_n")).withColumn("_back", -F.col("_n"))
-    return _monotone(d).select(*df.columns, (F.round("_ndr", places) if places is not None else F.col("_ndr")).alias("ndr"))
+    return _monotone(written(d)).select(*df.columns, (F.round("_ndr", places) if places is not None else F.col("_ndr")).alias("ndr"))
 
 
 def _monotone(d: DataFrame) -> DataFrame:
@@ -168,8 +170,6 @@ def score_classes(classes: DataFrame, genes: DataFrame, annotations: DataFrame,
 
     genes: (id = class_id, gene, novel_gene). Only classes with least_reads reads or more are described and scored; the default
     models always score, the sample's own where they can be trained."""
-    from strandflow.operators.staged import written
-
     d = gene_shares(classes.join(genes.select(F.col("id").alias("class_id"), "gene", "novel_gene"), "class_id"))
     some = d.filter(F.col("read_count") >= least_reads)
     c = some.join(compatibility(some, annotations), "class_id", "left").fillna(0, ["compatible"]).fillna(False, ["equal"])
